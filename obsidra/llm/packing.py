@@ -130,7 +130,7 @@ def pack_block(
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int = END_ID, block_ids: int = 1 << 20,
-    sentence_cost: float = 2.0, forced_cost: float = 32.0, grid: int = 256, with_ids: bool = True,
+    sentence_cost: float = 1.0, forced_cost: float = 6.0, grid: int = 48, with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text), one row each; see PIECES_DDL. ``ids`` holds them as little-endian unsigned 32
     bits, empty unless ``with_ids``. ``length`` has to be a power of two and ``grid`` at most ``length``."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsidra.llm import chat, cross_polytope, exact_search, langid, mixing, packing, quality, token_store
+from obsidra.llm import chat, cross_polytope, exact_search, langid, minhash, mixing, packing, quality, suffix_dedup, token_store
 from obsidra.llm.common import fresh_path, table
 from obsidra.llm.tokens import vocabulary
 
@@ -24,6 +24,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.search(table(spark, sf_dir, "embeddings"))
 
