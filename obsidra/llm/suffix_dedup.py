@@ -6,11 +6,13 @@ before it in its own. The input decides, not what is left of it.
 1. Every window of ``length`` bytes has an anchor: the leftmost of its k-byte strings of least hash. Equal windows have
    equal anchors at equal offsets, so only windows of one anchor can be equal. Neighbouring windows with one anchor
    form a run. Runs with equal bytes are settled by digest: all but the first are repeats, whole.
-2. What remains are anchors over runs that differ in some byte. Their distinct runs, at most 2 * length bytes each,
-   make up a collection of short documents whose suffixes are put in order column by column: each round inserts one
-   symbol per document into the collection's Burrows-Wheeler transform, at the place that the symbol's rank gives, and
-   updates the common prefixes there and behind. Transform, common prefixes and owners are sequential files, read and
-   written once a round. Neighbours in the final order with ``length`` bytes in common are equal windows.
+2. What remains are anchors over runs that differ in some byte. Their distinct runs, under 2 * length bytes each, make
+   up a collection of short documents, aligned at their anchors. Suffixes are put in order column by column, from the
+   last: each round inserts one symbol per document, which gives the collection's Burrows-Wheeler transform at that
+   column, and updates the prefixes in common, from a sequential file of columns. As equal windows stand in the same
+   column, only suffixes of one column are ordered among each other (the positional form of the transform); a round
+   costs the number of documents, not that of all suffixes so far. Neighbours with ``length`` bytes in common are equal
+   windows.
 3. The windows found go back to their documents, and the bytes that they cover are cut out.
 
 A task holds one batch of texts, or one collection of bounded size (unless a single anchor has more distinct runs).
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from obsidra.llm.common import checked_columns, stored
 
 ANCHOR = 32
 BLOCK_BYTES = 2 << 20
-COLLECTION = 12_000
+COLLECTION = 20_000
 FIRST = -(1 << 63)  # stands for a null doc_id
 _RNG = np.random.default_rng(20240229)
 _SYMBOL = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,11 +69,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(28))
 
 
-def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: starts of the runs of windows, how many windows each has, their anchors' hashes, their digests."""
+def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of one text: starts of the runs of windows, how many windows each has, how far on its anchor is, the anchors'
+    hashes, the runs' digests."""
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if len(data) > BLOCK_BYTES + length:  # long texts in blocks of windows
         parts = []
         for at in range(0, len(data) - length + 1, BLOCK_BYTES):
@@ -97,12 +101,12 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     ends = starts + counts + length - 1
     with np.errstate(over="ignore"):
         digests = _mixed((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64))
-    return starts, counts, strings[place[starts]], digests
+    return starts, counts, place[starts] - starts, strings[place[starts]], digests
 
 
 def _tag(text: Column | str) -> Column:
-    """24 bits that tell texts of one doc_id apart."""
-    return F.shiftrightunsigned(F.xxhash64(text), 40)
+    """18 bits that tell texts of one doc_id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 46)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -110,12 +114,13 @@ def _documents(docs: DataFrame) -> DataFrame:
     return named.select("doc", _tag("text").alias("tag"), F.encode("text", "UTF-8").alias("raw"))
 
 
-#: A run: at = tag * 2**38 + start * 2**8 + windows. A settled repeat: windows 255, digest their true number.
+#: A run: at holds, from the top, tag (18 bits), start (30), the anchor's distance from it (7), windows (8). A settled
+#: repeat: windows 255, digest their true number.
 RUNS = "anchor int, digest long, doc long, at long"
 
 
-def _at(tag: int, starts: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
-    return (tag << 38) + (starts << 8) + counts
+def _at(tag: np.ndarray, starts: np.ndarray, ahead: np.ndarray | int, windows: np.ndarray | int) -> np.ndarray:
+    return (tag << 45) + (starts << 15) + (ahead << 8) + windows
 
 
 def _map_runs(length: int):  # noqa: ANN202
@@ -124,8 +129,8 @@ def _map_runs(length: int):  # noqa: ANN202
             held, size = [], 0
             for doc, tag, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                starts, counts, anchors, digests = runs_of(data, length)
-                held.append((np.full(len(starts), doc), np.full(len(starts), tag), starts, counts, anchors, digests))
+                starts, *rest = runs_of(data, length)
+                held.append((np.full(len(starts), doc), np.full(len(starts), tag), starts, *rest))
                 size += len(starts)
                 if size > 500_000:
                     yield from _settled_here(held)
@@ -138,8 +143,8 @@ def _map_runs(length: int):  # noqa: ANN202
 
 def _settled_here(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Runs that first show up here, and repeats that already these texts show, joined where they touch."""
-    doc, tag, starts, counts, anchors, digests = (np.concatenate(x) for x in zip(*held, strict=True))
-    at = (tag << 38) + (starts << 8) + counts
+    doc, tag, starts, counts, ahead, anchors, digests = (np.concatenate(x) for x in zip(*held, strict=True))
+    at = _at(tag, starts, ahead, counts)
     order = np.lexsort((at, doc, digests))
     again = np.zeros(len(at), dtype=bool)
     again[order[1:]] = digests[order[1:]] == digests[order[:-1]]
@@ -156,13 +161,13 @@ def _settled_here(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch
         first = which[heads]
         spread = _mixed(digests[first] + starts[first].astype(np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array((spread >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(total), pa.array(doc[first]), pa.array((tag[first] << 38) + (starts[first] << 8) + 255)],
+            [pa.array((spread >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(total), pa.array(doc[first]), pa.array(_at(tag[first], starts[first], 0, 255))],
             ["anchor", "digest", "doc", "at"],
         )
 
 
 #: open: 1 for a run whose anchor has other runs too; else a repeat of ``windows`` windows.
-FOUND = "open int, anchor int, doc long, tag long, start long, windows long"
+FOUND = "open int, anchor int, doc long, tag long, start long, ahead long, windows long"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,88 +204,66 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(open_: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(open_.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array((at >> 38).astype(np.int64)), pa.array((at >> 8 & ((1 << 30) - 1)).astype(np.int64)), pa.array(windows.astype(np.int64))],
-        ["open", "anchor", "doc", "tag", "start", "windows"],
+        [pa.array(open_.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(at >> 45), pa.array(at >> 15 & ((1 << 30) - 1)), pa.array(at >> 8 & 127), pa.array(windows.astype(np.int64))],
+        ["open", "anchor", "doc", "tag", "start", "ahead", "windows"],
     )
 
 
-class Columns:
-    """Arrays of one length that grow by insertion, each a sequential file: a round reads all of it and writes it anew."""
-
-    def __init__(self, folder: str, **kinds: str):
-        self.folder, self.kinds, self.n, self.round = folder, kinds, 0, 0
-        for name in kinds:
-            open(self._file(name), "wb").close()
-
-    def _file(self, name: str) -> str:
-        return f"{self.folder}/{name}.{self.round % 2}"
-
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self._file(name), dtype=self.kinds[name])
-
-    def insert(self, places: np.ndarray, values: dict[str, np.ndarray], changed: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        """Puts values at ``places`` (ascending, as numbered afterwards); ``changed`` overwrites entries after that."""
-        total = self.n + len(places)
-        old = np.ones(total, dtype=bool)
-        old[places] = False
-        for name, kind in self.kinds.items():
-            out = np.empty(total, dtype=kind)
-            out[old] = self.read(name)
-            out[places] = values[name]
-            if name in changed:
-                at, to = changed[name]
-                out[at] = to
-            out.tofile(f"{self.folder}/{name}.{(self.round + 1) % 2}")
-        self.n, self.round = total, self.round + 1
-
-
-def ordered_suffixes(texts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all suffixes of the collection, in order: owner, length, and the prefix in common with the suffix before
-    (counted up to ``most``). Each text ends with a mark of its own, below all bytes; marks are ordered like texts.
-
-    Round j inserts each text's suffix of length j. The transform holds the symbol before each suffix, plus one; 0 where
-    the suffix is a whole text. A suffix's place is the number of marks and of symbols below its first, plus the rank of
-    that symbol at its tail's place: symbols in the transform and the suffixes they lead to are in the same order."""
-    m = len(texts)
+def columns_of(texts: list[bytes], ahead: np.ndarray, file: BinaryIO) -> tuple[int, int]:
+    """Writes the collection's columns, last first, one symbol per text and column: its byte plus one, or 0 beyond the
+    text. ``ahead`` is how many bytes each text has before the column that all are aligned to. Returns the first column
+    (minus the most bytes ahead) and how many there are."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
-    longest = int(lens.max(initial=0))
-    last = np.zeros((longest + 1, m), dtype=np.int16)  # [j]: symbol before the suffix of length j
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16) + 1
-    ends = np.cumsum(lens)
-    for j in range(longest + 1):
-        has = np.flatnonzero(lens > j)
-        last[j, has] = flat[ends[has] - 1 - j]
-    with tempfile.TemporaryDirectory() as folder:
-        files = Columns(folder, symbol="<i2", common="<i2", owner="<i4", size="<i2")
-        everyone = np.arange(m)
-        files.insert(everyone, {"symbol": last[0], "common": np.zeros(m), "owner": everyone, "size": np.zeros(m)}, {})
-        active, place = everyone[lens > 0], everyone[lens > 0]  # where the suffix inserted last stands
-        for j in range(1, longest + 1):
-            symbols, common = files.read("symbol"), files.read("common")
-            order = np.argsort(symbols, kind="stable")
-            inverse = np.empty(len(order), dtype=np.int64)
-            inverse[order] = np.arange(len(order))
-            whole = int(np.searchsorted(symbols[order], 1))  # suffixes that are whole texts lead to nothing
-            rank = inverse[place]
-            new = m + rank - whole
-            # The prefix in common with the neighbour in order is one more than the least between their tails.
-            own = symbols[place]
-            up = np.where(rank > 0, order[np.maximum(rank - 1, 0)], 0)
-            has_up = (rank > 0) & (symbols[up] == own)
-            down = order[np.minimum(rank + 1, len(order) - 1)]
-            has_down = (rank + 1 < len(order)) & (symbols[down] == own)
-            value = np.where(has_up, np.minimum(1 + _least(common, up, place, has_up), most), 0)
-            after = np.minimum(1 + _least(common, place, down, has_down), most)
-            sort = np.argsort(new, kind="stable")
-            # What stands behind a new suffix may be old or new: its entry is written after the insertion.
-            files.insert(
-                new[sort],
-                {"symbol": last[j, active[sort]], "common": value[sort], "owner": active[sort], "size": np.full(len(sort), j)},
-                {"common": (new[has_down] + 1, after[has_down])},
-            )
-            stay = lens[active] > j
-            active, place = active[stay], new[stay]
-        return files.read("owner"), files.read("size"), files.read("common")
+    first, last = -int(ahead.max(initial=0)), int((lens - ahead).max(initial=0))
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
+    begin = np.cumsum(lens) - lens
+    for column in range(last - 1, first - 1, -1):
+        at = column + ahead
+        has = (at >= 0) & (at < lens)
+        symbols = np.zeros(len(texts), dtype=np.uint8)
+        symbols[has] = flat[(begin + at)[has]]
+        file.write(symbols.tobytes())
+    return first, last - first
+
+
+def aligned_suffixes(texts: list[bytes], ahead: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Column by column from the last: the column, the texts in the order of their suffixes from it, and the prefix each
+    has in common with the one before (counted up to ``most``; 0 where a text has no byte there).
+
+    A round inserts one symbol per text in front of its suffix: the symbols, taken in the order so far, are the
+    transform of this column, and sorting them stably gives the next order. Two neighbours with one symbol have one more
+    in common than the least prefix between them before. Columns are a sequential file, read once."""
+    m = len(texts)
+    with tempfile.TemporaryFile() as file:
+        first, columns = columns_of(texts, ahead, file)
+        file.seek(0)
+        order, common = np.arange(m), np.zeros(m, dtype=np.uint8)
+        for column in range(first + columns - 1, first - 1, -1):
+            transform = np.frombuffer(file.read(m), dtype=np.uint8)[order]
+            place = np.argsort(transform, kind="stable")
+            sorted_ = transform[place]
+            twin = np.zeros(m, dtype=bool)
+            twin[1:] = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] > 0)
+            before = np.concatenate(([0], place[:-1]))
+            common = np.where(twin, np.minimum(_least(common, before, place, twin) + 1, most), 0).astype(np.uint8)
+            order = order[place]
+            yield column, order, common
+
+
+def repeated_windows(texts: list[bytes], ahead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and start of each window of ``length`` bytes that an earlier text has in the same column."""
+    owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for column, order, common in aligned_suffixes(texts, ahead, length):
+        same = common >= length
+        if same.any():
+            heads = np.flatnonzero(~same)
+            least = np.minimum.reduceat(order, heads)
+            again = np.ones(len(order), dtype=bool)
+            again[heads[np.diff(np.append(heads, len(order))) == 1]] = False
+            again &= order != np.repeat(least, np.diff(np.append(heads, len(order))))
+            owners.append(order[again])
+            starts.append(column + ahead[order[again]])
+    return np.concatenate(owners), np.concatenate(starts)
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -296,21 +279,6 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, valid: np.ndar
     return out
 
 
-def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and start of each window of ``length`` bytes that an earlier text has, or the same text further ahead."""
-    owner, size, common = ordered_suffixes(texts, length)
-    long_ = size >= length
-    same = long_ & (common >= length)
-    if not same.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(~same)
-    starts = np.array([len(t) for t in texts])[owner] - size
-    which = np.flatnonzero(long_)
-    which = which[np.lexsort((starts[which], owner[which], group[which]))]
-    again = which[1:][group[which[1:]] == group[which[:-1]]]
-    return owner[again], starts[again]
-
-
 def _contexts(length: int):  # noqa: ANN202
     """Open runs joined to their texts, to their bytes."""
 
@@ -318,7 +286,7 @@ def _contexts(length: int):  # noqa: ANN202
         for b in batches:
             starts, windows = b.column("start").to_pylist(), b.column("windows").to_pylist()
             cut = [raw.as_py()[s : s + w + length - 1] for raw, s, w in zip(b.column("raw"), starts, windows, strict=True)]
-            kept = b.select(["anchor", "doc", "tag", "start", "windows"])
+            kept = b.select(["anchor", "doc", "tag", "start", "ahead"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cut, pa.binary())], [*kept.schema.names, "raw"])
 
     return run
@@ -328,7 +296,7 @@ def _compare(length: int):  # noqa: ANN202
     """Runs sorted by anchor, doc, tag, start, with bytes; out come their repeated windows, joined where they touch."""
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
-        owner, offset = repeated_windows([r[4] for r in rows], length)
+        owner, offset = repeated_windows([r[5] for r in rows], np.array([r[4] for r in rows]), length)
         order = np.lexsort((offset, owner))
         owner, offset = owner[order], offset[order]
         heads = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))[: len(owner)])
@@ -342,7 +310,7 @@ def _compare(length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "raw")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "ahead", "raw")), strict=True):
                 if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
                     yield judged(rows)
                     rows = []
@@ -364,8 +332,8 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     open_ = found.where("open = 1").drop("open")
     # First the texts that have open runs at all: their ids are few, and Spark broadcasts them if they are small.
     holders = stored(open_.select("doc", "tag").distinct(), "suffix-holders")
-    cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"]).select("anchor", "doc", "tag", "start", "windows", "raw")
-    cut = cut.mapInArrow(_contexts(length), "anchor int, doc long, tag long, start long, windows long, raw binary")
+    cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"]).select("anchor", "doc", "tag", "start", "ahead", "windows", "raw")
+    cut = cut.mapInArrow(_contexts(length), "anchor int, doc long, tag long, start long, ahead long, raw binary")
     partial = (
         cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start")
         .mapInArrow(_compare(length), "doc long, tag long, start long, windows long")
