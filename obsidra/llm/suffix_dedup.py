@@ -380,7 +380,8 @@ def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     spans = repeats(docs, length)
     marked = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(FIRST)), "__tag": _tag(F.coalesce("text", F.lit("")))})
     joined = marked.join(spans.withColumnsRenamed({"doc": "__doc", "tag": "__tag"}), ["__doc", "__tag"], "left")
-    at, last = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, last = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,7 +393,7 @@ def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
                 texts.append(text)
             columns = list(b.columns[:last])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "spans").mapInArrow(run, T.StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
