@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsidra.operators import catalog, logs, metrics, profiles, traces
 from obsidra.plans import model
+from obsidra.streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -323,5 +324,15 @@ def _profiles() -> None:
     add("prof_diff", lambda s, d: profiles.diff_tree(part_profiles(s, d), cpu + ', service_name="R"}', cpu + ', service_name="A"}'), f"{PROFILES} SELECT coalesce(x.path, y.path) AS path, coalesce(x.self, 0) AS left_self, coalesce(x.total, 0) AS left_total, coalesce(y.self, 0) AS right_self, coalesce(y.total, 0) AS right_total FROM ({a}) x FULL JOIN ({b}) y ON x.path = y.path")
 
 
-for _section in (_logs, _metrics, _catalog, _prom, _traces, _profiles):
+def _rollup() -> None:
+    any_ = '{event_type=~".+"}'
+    add("rollup_15s", lambda s, d: spread(rollup.rollup(entries(s, d)), ("event_type", "user_id"), "timestamp_ns", "last", "last_ts", "max", "min", "count", F.round("sum", 6).alias("sum"), "bytes"),
+        f"{EVENTS} SELECT event_type, user_id, ts_ns // 15000000000 * 15000000000 AS timestamp_ns, arg_max(value, (ts_ns, string)) AS last, max(ts_ns) AS last_ts, max(value) AS max, min(value) AS min, count(*) AS count, round(sum(value), 6) AS sum, CAST(sum(strlen(string)) AS DOUBLE) AS bytes FROM e GROUP BY ALL")
+    text = f"sum by (event_type) (rate({any_}[6h]))"
+    add("rollup_rate", lambda s, d: spread(rollup.shortcut(rollup.rollup(entries(s, d)), text), ("event_type",), F.expr("bucket_ns div 1000000").alias("bucket_ms"), F.round("value", 6).alias("value")), f"{EVENTS} {bucketed('count(*) / 21600.0', 6)}")
+    add("rule_record", lambda s, d: spread(rollup.record(entries(s, d), "events:rate", text, {"team": "a"}), ("__name__", "team", "event_type"), "ts_ms", F.round("val", 6).alias("val")),
+        f"{EVENTS} SELECT 'events:rate' AS __name__, 'a' AS team, event_type, bucket_ms AS ts_ms, value AS val FROM ({bucketed('count(*) / 21600.0', 6)})")
+
+
+for _section in (_logs, _metrics, _catalog, _prom, _traces, _profiles, _rollup):
     _section()
