@@ -246,19 +246,30 @@ def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, lowest: floa
     def run(t: pa.Table) -> pa.Table:
         ids, root, n = (t.column(c).to_numpy() for c in ("cid", "root", "n"))
         low = np.flatnonzero(t.column("block").to_numpy() == t.column("lo")[0].as_py())
+        here = t.column("key")[0].as_py()
         sketches = [unpacked(s) for s in t.column("sketch").to_pylist()]
         grid = np.full((len(ids), SKETCH), np.uint64(0xFFFFFFFFFFFFFFFF))
+        names = [np.unique(list_keys(s, int(k))) for s, k in zip(sketches, n.tolist(), strict=True)]
+        lists = np.full((len(ids), max(map(len, names))), np.iinfo(np.int64).max)
         for k, s in enumerate(sketches):
             grid[k, : len(s)] = s
+            lists[k, : len(names[k])] = names[k]
         values, codes = np.unique(grid, return_inverse=True)
         codes = codes.reshape(grid.shape)
-        filled = grid != np.uint64(0xFFFFFFFFFFFFFFFF)
-        has = np.zeros((len(ids), len(values)), dtype=np.float32)
-        has[np.nonzero(filled)[0], codes[filled]] = 1
+        blank = values == np.uint64(0xFFFFFFFFFFFFFFFF)
+        below, ranks = np.unique(lists, return_inverse=True)
+        ranks, own = ranks.reshape(lists.shape), int(np.searchsorted(below, here))
+        in_sketch, in_lists = np.zeros(len(values), bool), np.zeros(len(below), bool)
         us, vs = [], []
         for i in low.tolist():
-            # Shared retained values bound the overlap of the union's sketch from above.
-            able = (root != root[i]) & (np.minimum(n, n[i]) >= lowest * np.maximum(n, n[i])) & (has @ has[i] >= lowest * np.minimum(SKETCH, np.minimum(n, n[i])))
+            # A pair is looked at in the least list that both are in, and in no other. Shared retained values bound the
+            # overlap of the union's sketch from above.
+            in_lists[ranks[i][ranks[i] < own]] = True
+            in_sketch[codes[i]] = True
+            in_sketch[blank] = False
+            able = (root != root[i]) & ~in_lists[ranks].any(axis=1) & (np.minimum(n, n[i]) >= lowest * np.maximum(n, n[i]))
+            able &= in_sketch[codes].sum(axis=1) >= lowest * np.minimum(SKETCH, np.minimum(n, n[i]))
+            in_lists[ranks[i]] = in_sketch[codes[i]] = False
             for j in np.flatnonzero(able).tolist():
                 if estimate(sketches[i], sketches[j]) >= lowest:
                     us.append(max(ids[i], ids[j]))
