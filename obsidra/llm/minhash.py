@@ -230,6 +230,19 @@ def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((rank // BLOCK).astype(np.int32))], ["key", "cid", "block"])
 
 
+def _estimates(codes: np.ndarray, i: int, others: np.ndarray, own: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """estimate() of one sketch with many, on codes in the order of the values; ``own`` marks the codes of sketch i."""
+    none = len(blank)
+    mine, theirs = codes[i], codes[others]
+    shared = own[theirs]
+    rest = np.where(shared | blank[theirs], none, theirs)
+    union = np.concatenate([np.broadcast_to(np.where(blank[mine], none, mine), rest.shape), rest], axis=1)
+    union.sort(axis=1)
+    full = ~blank[mine].any() | ~blank[theirs].any(axis=1)
+    last = np.where(full, union[:, SKETCH - 1], none)[:, None]
+    return (shared & (theirs <= last)).sum(axis=1) / np.maximum(((union <= last) & (union < none)).sum(axis=1), 1)
+
+
 def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, lowest: float) -> DataFrame:
     """Candidate links (u, v) across components, from lists that hold several."""
     rooted = lists.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -269,12 +282,13 @@ def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, lowest: floa
             in_sketch[blank] = False
             able = (root != root[i]) & ~in_lists[ranks].any(axis=1) & (np.minimum(n, n[i]) >= lowest * np.maximum(n, n[i]))
             able &= in_sketch[codes].sum(axis=1) >= lowest * np.minimum(SKETCH, np.minimum(n, n[i]))
+            others = np.flatnonzero(able)
+            others = others[_estimates(codes, i, others, in_sketch, blank) >= lowest]
             in_lists[ranks[i]] = in_sketch[codes[i]] = False
-            for j in np.flatnonzero(able).tolist():
-                if estimate(sketches[i], sketches[j]) >= lowest:
-                    us.append(max(ids[i], ids[j]))
-                    vs.append(min(ids[i], ids[j]))
-        return pa.table({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+            us.append(np.maximum(ids[i], ids[others]))
+            vs.append(np.minimum(ids[i], ids[others]))
+        us, vs = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+        return pa.table({"u": us, "v": vs})
 
     group = ["key", "lo", "hi"]
     return dealt.select(*group, "block", "cid", "root", "n", "sketch").groupBy(*group).applyInArrow(run, "u long, v long").distinct()

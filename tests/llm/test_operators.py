@@ -241,3 +241,20 @@ def test_shortages_go_to_siblings_first():
     leaves = {("a", "x", "1"): 10.0, ("a", "x", "2"): 100.0, ("b", "y", "3"): 100.0}
     found = mixing.leaf_budgets(leaves, 100.0, {}, 1)
     assert found == {("a", "x", "1"): 10.0, ("a", "x", "2"): 40.0, ("b", "y", "3"): 50.0}
+
+
+def test_estimates_of_many_are_those_of_pairs():
+    r = np.random.default_rng(5)
+    pool = np.sort(r.choice(1 << 40, 150, replace=False)).astype(np.uint64)
+    sketches = [np.sort(r.choice(pool, r.integers(20, 120), replace=False))[: minhash.SKETCH] for _ in range(20)]
+    grid = np.full((20, minhash.SKETCH), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k, s in enumerate(sketches):
+        grid[k, : len(s)] = s
+    values, codes = np.unique(grid, return_inverse=True)
+    codes, blank = codes.reshape(grid.shape), values == np.uint64(0xFFFFFFFFFFFFFFFF)
+    for i in range(20):
+        own = np.zeros(len(values), bool)
+        own[codes[i]] = True
+        own[blank] = False
+        got = minhash._estimates(codes, i, np.arange(20), own, blank)
+        assert np.allclose(got, [minhash.estimate(sketches[i], s) for s in sketches])
