@@ -110,7 +110,11 @@ def json_labels(line: Column, depth: int = 3) -> Column:
     good = line.rlike(r"^\s*\{") & F.from_json(line, "map<string,string>").isNotNull()
     last_wins = F.map_from_entries(F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["key"] == e["key"])))
     failed = F.create_map(F.lit(ERROR), F.lit("JSONParserErr"), F.lit(DETAILS), F.lit("the line is not a JSON object"))
-    return F.when(F.coalesce(good, F.lit(False)), last_wins).otherwise(failed)
+    # Most lines are flat objects with plain keys: one map does for them, and the rest is only worked out for others.
+    parsed = F.from_json(line, "map<string,string>")
+    flat = line.rlike(r"^\s*\{[^{]*$") & ~line.rlike(r'"[^"]*[^a-zA-Z0-9_"][^"]*"\s*:') & parsed.isNotNull()
+    own = F.map_filter(parsed, lambda _, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]"))
+    return F.when(F.coalesce(flat, F.lit(False)), own).when(F.coalesce(good, F.lit(False)), last_wins).otherwise(failed)
 
 
 def json_labels_at(line: Column, fields: tuple[tuple[str, str], ...]) -> Column:
