@@ -8,6 +8,7 @@ never inside a piece, so cutting at spaces is exact for any text. Misses are enc
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -20,6 +21,25 @@ import pyarrow.compute as pc
 END_ID = 1
 CHUNK_ENTRIES = 1_000_000
 PIECE_ENTRIES = 1_000_000
+SLICE_BYTES = 16 << 20
+
+
+class Cache:
+    """Two generations of at most ``most // 2`` entries each, so the entries in use outlive a full cache."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        old = self.old
+        return [x if x is not None else old.get(w) for w, x in zip(words, map(self.young.get, words), strict=True)]
+
+    def add(self, fresh: dict[str, bytes]) -> None:
+        if len(self.young) + len(fresh) > self.most // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(fresh)
 
 
 class Encoder:
@@ -33,9 +53,7 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = bool((spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel")
-        self.most = (chunks, pieces)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Cache(chunks), Cache(pieces)
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -43,8 +61,12 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _parts(self, chunk: str) -> list[str] | None:
+    def _parts(self, chunk: str) -> tuple[str, ...] | None:
         """Pieces that encode on their own, or None where only the library can tell."""
+        if m := _PLAIN.fullmatch(chunk if self.byte_level else chunk.lower()):
+            return m.groups() if m[2] else (m[1],)
+        if "\n" not in chunk:
+            return None
         parts: list[str] = []
         for k, line in enumerate(chunk.split("\n")):
             m = _PLAIN.fullmatch(line if self.byte_level else line.lower())
@@ -52,25 +74,37 @@ class Encoder:
                 return None
             if k and self.byte_level:
                 parts.append("\n")
-            parts += [m[1], m[2]] if m[2] else [m[1]]
-        return parts
+            parts += filter(None, m.groups())
+        return tuple(parts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array on end (unsigned 32-bit), and where each text's begin (one entry more than texts).
 
-        Null counts as empty. Words are split and numbered by Arrow; only distinct words are looked up in Python.
+        Null counts as empty. The work goes by slices of about ``SLICE_BYTES`` of text (or of one text, if longer).
         """
         texts = texts.fill_null("")
         if not isinstance(texts, pa.StringArray):
             texts = texts.cast(pa.string())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        steps = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=0))
+        bounds = np.unique(np.concatenate(([0], steps, [len(texts)]))).tolist()
+        found = [self._encode_slice(texts.slice(a, b - a)) for a, b in zip(bounds, bounds[1:])]  # noqa: B905
+        if not found:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        bases = np.cumsum([0, *(len(ids) for ids, _ in found)])
+        at = np.concatenate([*(at[:-1] + base for (_, at), base in zip(found, bases)), bases[-1:]])  # noqa: B905
+        return np.concatenate([ids for ids, _ in found]), at
+
+    def _encode_slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() at once. Words are split and numbered by Arrow; only distinct words are looked up in Python."""
         lists = pc.split_pattern(texts, " ")
         heads = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.values.slice(int(heads[0]), int(heads[-1] - heads[0])).dictionary_encode()
         heads = heads - heads[0]
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         slow = np.zeros(len(texts), dtype=bool)
         if self.byte_level and len(words):
-            bad = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
+            bad = _spaced(coded.dictionary, words)
             at = np.flatnonzero(bad[codes])
             slow[np.searchsorted(heads, at, side="right") - 1] = True
             slow &= heads[1:] - heads[:-1] > 1  # a text of one chunk is that chunk
@@ -100,27 +134,31 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, from the caches as far as they go."""
-        found = list(map(self.chunks.get, words))
+        found = self.chunks.find(words)
         missing = [w for w, x in zip(words, found, strict=True) if x is None]
         if not missing:
             return found
-        parts = {c: self._parts(c) for c in missing}
-        needed = {p for some in parts.values() if some for p in some}
-        new = needed.difference(self.pieces)
-        if len(self.pieces) + len(new) > self.most[1] and self.pieces:
-            self.pieces.clear()
-            new = needed
-        fresh: dict[str, bytes] = {}
-        for names, into in ((list(new), self.pieces), ([c for c, p in parts.items() if p is None], fresh)):
-            for at in range(0, len(names), 20_000):
-                some = names[at : at + 20_000]
-                into.update(zip(some, self.whole(some), strict=True))
-        piece = self.pieces.__getitem__
-        fresh.update((c, b"".join(map(piece, p))) for c, p in parts.items() if p is not None)
-        if len(self.chunks) + len(fresh) > self.most[0]:
-            self.chunks.clear()
-        self.chunks.update(fresh)
-        return [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        collecting = gc.isenabled()
+        gc.disable()  # a million short-lived tuples, none in a cycle
+        try:
+            parts = list(map(self._parts, missing))
+            needed = {p for some in parts if some for p in some}
+            names = list(needed)
+            pieces = dict(zip(names, self.pieces.find(names), strict=True))
+            new, fresh = {}, {}
+            for names, into in (([p for p, x in pieces.items() if x is None], new), ([c for c, p in zip(missing, parts, strict=True) if p is None], fresh)):
+                for at in range(0, len(names), 20_000):
+                    some = names[at : at + 20_000]
+                    into.update(zip(some, self.whole(some), strict=True))
+            self.pieces.add(new)
+            pieces.update(new)
+            piece = pieces.__getitem__
+            fresh.update((c, piece(p[0]) if len(p) == 1 else b"".join(map(piece, p))) for c, p in zip(missing, parts, strict=True) if p is not None)
+            self.chunks.add(fresh)
+            return [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        finally:
+            if collecting:
+                gc.enable()
 
     def sentence_ends(self) -> np.ndarray:
         """Per id whether a sentence can end with it: its text ends with . ! ? or holds a line feed."""
@@ -131,6 +169,20 @@ class Encoder:
         return ends
 
 
+def _spaced(words: pa.StringArray, as_text: list[str]) -> np.ndarray:
+    """Which of ``words`` are empty or begin or end with white space; Python looks only at those that may."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    empty = offsets[1:] == offsets[:-1]
+    if not len(raw):
+        return empty
+    first, last = raw[np.minimum(offsets[:-1], len(raw) - 1)], raw[np.maximum(offsets[1:] - 1, 0)]
+    out = empty.copy()
+    for k in np.flatnonzero(~empty & ((first <= 32) | (first > 127) | (last <= 32) | (last > 127))).tolist():
+        out[k] = as_text[k][0].isspace() or as_text[k][-1].isspace()
+    return out
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of ``flat`` that the codes name, on end, and where each ends."""
     n = lens[codes]
