@@ -101,21 +101,20 @@ class Encoder:
         heads = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.values.slice(int(heads[0]), int(heads[-1] - heads[0])).dictionary_encode()
         heads = heads - heads[0]
-        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         slow = np.zeros(len(texts), dtype=bool)
         if self.byte_level and len(words):
-            bad = _spaced(coded.dictionary, words)
-            at = np.flatnonzero(bad[codes])
+            at = np.flatnonzero(_spaced(words)[codes])
             slow[np.searchsorted(heads, at, side="right") - 1] = True
             slow &= heads[1:] - heads[:-1] > 1  # a text of one chunk is that chunk
             firsts = heads[:-1][heads[1:] > heads[:-1]]
             own, inverse = np.unique(codes[firsts], return_inverse=True)
             codes = codes.copy()
             codes[firsts] = len(words) + inverse
-            words = [" " + w for w in words] + [words[i] for i in own]
-        ids = self._learn(words)
-        lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            behind, first = self._looked_up(words, " "), self._looked_up(words.take(pa.array(own)), "")
+            flat, lens = (np.concatenate(x) for x in zip(behind, first, strict=True))
+        else:
+            flat, lens = self._looked_up(words, "")
         starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
         out, ends = _gather(flat, starts, lens, codes)
         at = np.concatenate(([0], ends))[heads]
@@ -132,6 +131,40 @@ class Encoder:
         ids, at = self.encode(texts)
         return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
+    def _looked_up(self, words: pa.StringArray, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with ``before`` in front, on end, and the number of each word's.
+
+        Arrow splits plain words into letters and punctuation, and only the distinct ones of those are looked up; the
+        other words go through the cache of chunks.
+        """
+        letters, marks = pc.ascii_rtrim(words, characters=_MARKS), pc.utf8_ltrim(words, characters=_LETTERS)
+        plain = _all_letters(letters)
+        rest = words.filter(pa.array(~plain))
+        units = self._learn([before + w for w in rest.to_numpy(zero_copy_only=False).tolist()])
+        which = np.zeros((len(words), 2), dtype=np.int64)
+        which[~plain, 0] = np.arange(len(rest)) + 1
+        for k, (some, front) in enumerate(((letters, before), (marks, ""))):
+            some = some.filter(pa.array(plain))
+            coded = (some if self.byte_level else pc.utf8_lower(some)).dictionary_encode()
+            which[plain, k] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(units) + 1
+            units += self._piece_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), front)
+        sizes = np.concatenate(([0], np.fromiter(map(len, units), dtype=np.int64, count=len(units)) // 4))
+        flat = np.frombuffer(b"".join(units), dtype="<u4")
+        out, _ = _gather(flat, np.cumsum(sizes) - sizes, sizes, which.ravel())
+        return out, sizes[which].sum(axis=1)
+
+    def _piece_ids(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of distinct pieces, each with ``before`` in front."""
+        keys = [before + p for p in pieces] if before else pieces
+        found = self.pieces.find(keys)
+        missing = [p for p, x in zip(keys, found, strict=True) if x is None]
+        new = {"": b""} if "" in missing else {}
+        for at in range(0, len(missing), 20_000):
+            some = [p for p in missing[at : at + 20_000] if p]
+            new.update(zip(some, self.whole(some), strict=True))
+        self.pieces.add(new)
+        return [new[p] if x is None else x for p, x in zip(keys, found, strict=True)]
+
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, from the caches as far as they go."""
         found = self.chunks.find(words)
@@ -169,20 +202,36 @@ class Encoder:
         return ends
 
 
-def _spaced(words: pa.StringArray, as_text: list[str]) -> np.ndarray:
-    """Which of ``words`` are empty or begin or end with white space; Python looks only at those that may."""
+def _bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the words, and the bytes they point into."""
     offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
-    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
-    empty = offsets[1:] == offsets[:-1]
-    if not len(raw):
-        return empty
-    first, last = raw[np.minimum(offsets[:-1], len(raw) - 1)], raw[np.maximum(offsets[1:] - 1, 0)]
-    out = empty.copy()
-    for k in np.flatnonzero(~empty & ((first <= 32) | (first > 127) | (last <= 32) | (last > 127))).tolist():
-        out[k] = as_text[k][0].isspace() or as_text[k][-1].isspace()
+    return offsets.astype(np.int64), np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+
+
+def _spaced(words: pa.StringArray) -> np.ndarray:
+    """Which of ``words`` are empty or begin or end with white space; Python looks only at those that may."""
+    offsets, raw = _bytes_of(words)
+    out = offsets[1:] == offsets[:-1]
+    if len(raw):
+        first, last = raw[np.minimum(offsets[:-1], len(raw) - 1)], raw[np.maximum(offsets[1:] - 1, 0)]
+        unsure = np.flatnonzero(~out & ((first <= 32) | (first > 127) | (last <= 32) | (last > 127)))
+        out[unsure] = [w[0].isspace() or w[-1].isspace() for w in words.take(pa.array(unsure)).to_pylist()]
     return out
 
 
+def _all_letters(words: pa.StringArray) -> np.ndarray:
+    """Which of ``words`` have nothing but ``_LETTERS``, at least one."""
+    offsets, raw = _bytes_of(words)
+    raw = raw[: offsets[-1]] if len(offsets) else raw
+    good = _ASCII_LETTER[raw]
+    if len(raw) > 1:  # of two bytes: 0xC3, then any but the signs for times and divided by
+        second = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)) + 1
+        good[second] = good[second - 1] = True
+    sums = np.concatenate(([0], np.cumsum(good)))
+    sizes = offsets[1:] - offsets[:-1]
+    return (sizes > 0) & (sums[offsets[1:]] - sums[offsets[:-1]] == sizes)
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of ``flat`` that the codes name, on end, and where each ends."""
     n = lens[codes]
@@ -195,6 +244,10 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.nd
 #: Latin letters, then punctuation without apostrophes (contractions) and angle brackets (special tokens).
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@[-`{-~]*)")
 
+_LETTERS = "".join(chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c)))
+_MARKS = "".join(chr(c) for c in range(128) if _PLAIN.fullmatch("a" + chr(c)) and not chr(c).isalpha())
+_ASCII_LETTER = np.array([c < 128 and chr(c) in _LETTERS for c in range(256)])
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
