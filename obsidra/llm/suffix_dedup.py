@@ -279,19 +279,6 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, valid: np.ndar
     return out
 
 
-def _contexts(length: int):  # noqa: ANN202
-    """Open runs joined to their texts, to their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            starts, windows = b.column("start").to_pylist(), b.column("windows").to_pylist()
-            cut = [raw.as_py()[s : s + w + length - 1] for raw, s, w in zip(b.column("raw"), starts, windows, strict=True)]
-            kept = b.select(["anchor", "doc", "tag", "start", "ahead"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cut, pa.binary())], [*kept.schema.names, "raw"])
-
-    return run
-
-
 def _compare(length: int):  # noqa: ANN202
     """Runs sorted by anchor, doc, tag, start, with bytes; out come their repeated windows, joined where they touch."""
 
@@ -333,7 +320,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # First the texts that have open runs at all: their ids are few, and Spark broadcasts them if they are small.
     holders = stored(open_.select("doc", "tag").distinct(), "suffix-holders")
     cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"]).select("anchor", "doc", "tag", "start", "ahead", "windows", "raw")
-    cut = cut.mapInArrow(_contexts(length), "anchor int, doc long, tag long, start long, ahead long, raw binary")
+    cut = cut.select("anchor", "doc", "tag", "start", "ahead", F.substring("raw", (F.col("start") + 1).cast("int"), (F.col("windows") + length - 1).cast("int")).alias("raw"))
     partial = (
         cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start")
         .mapInArrow(_compare(length), "doc long, tag long, start long, windows long")
