@@ -7,9 +7,10 @@ the chance of none is about 1e-9; sets of under 48 shingles also have runs of th
 makes it certain there). Overlaps from the lists are filtered by the similarity estimated on the union's sketch, and
 what passes is verified on full shingle sets.
 
-Lists can be long without a quadratic number of pairs: members are first held against the list's least member only, and
-the verified links joined to components. Lists whose members are then in one component are settled. Of the others, all
-pairs across components are estimated in blocks of bounded size, and the few that pass are verified.
+Lists can be long without a quadratic number of pairs: members are first held against one member of the list only, its
+hub, and the verified links joined to components. Lists with the same hub form one group. Groups whose members are then
+in one component are settled. Of the others, pairs across components are held against longer sketches, in blocks of
+bounded size, and the few that pass are verified.
 
 Defined cases: null or wordless text has an empty set and no links; fewer words than a shingle has make one shingle;
 rows that repeat a doc_id are documents of their own with that id; an empty table gives no rows; other columns are
@@ -34,7 +35,10 @@ SKETCH = 64
 SLACK = 0.22  # over four deviations of an estimate from 64 values
 STEP = 6  # bytes of a shingle hash
 ALL_PAIRS = 4
+FINE = 256
+FINE_SLACK = 0.11  # over four deviations of an estimate from 256 values
 BLOCK = 1024
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -140,40 +144,37 @@ def _memberships(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "n", "sketch").mapInArrow(run, "key long, cid long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid) sorted by both to candidate links (u, v), u above v: each member with the list's least, and in
-    short lists all pairs. Batches may cut a list anywhere; only its first members are carried over."""
-    key, first = None, []
-    for b in batches:
-        keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1]))[: len(keys)])
-        sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        heads: list[tuple[int, int]] = []
-        at = 0
-        if len(keys) and key == keys[0] and first:  # goes on from the batch before
-            for x in ids[: sizes[0]].tolist():
-                if len(first) < ALL_PAIRS:
-                    heads += [(x, y) for y in first]
-                    first.append(x)
-                else:
-                    heads.append((x, first[0]))
-            at = 1
-        s, z = starts[at:], sizes[at:]
-        own = np.repeat(ids[s], z)
-        rows = ids[s[0] :] if len(s) else ids[:0]
-        rank = np.arange(len(rows)) - np.repeat(s - (s[0] if len(s) else 0), z)
-        u, v = [rows[rank > 0]], [own[rank > 0]]
-        for back in range(1, ALL_PAIRS - 1):  # the first few also with each other
-            more = np.flatnonzero((rank > back) & (rank < ALL_PAIRS))
-            u.append(rows[more])
-            v.append(rows[more - back])
-        if len(keys) and (at < len(starts)):
-            key, first = keys[-1], ids[starts[-1] :][:ALL_PAIRS].tolist()
-        u.append(np.array([x for x, _ in heads], np.int64))
-        v.append(np.array([y for _, y in heads], np.int64))
-        u, v = np.concatenate(u), np.concatenate(v)
-        keep = u != v
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """Candidate links (u, v), u above v: all pairs of the lists of at most ``ALL_PAIRS`` members."""
+    short = lists.where(F.col("m") <= ALL_PAIRS)
+    return short.select("key", F.col("cid").alias("u")).join(short.select("key", F.col("cid").alias("v")), "key").where("u > v").select("u", "v").distinct()
+
+
+def _hub_groups(lists: DataFrame) -> DataFrame:
+    """(hub, cid), once each: the longer lists, those with the same hub as one. A list's hub is the member whose lists
+    have most members in all: of a text and its altered copies, the text, as the copies lack some of its runs."""
+    long = lists.where(F.col("m") > ALL_PAIRS)
+    heavy = long.join(long.groupBy("cid").agg(F.sum("m").alias("weight")), "cid")
+    hubs = heavy.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("top")).select("key", F.col("top.cid").alias("hub"))
+    return long.join(hubs, "key").select("hub", "cid").distinct()
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """estimate() of each row of sketches in ``a`` with that row in ``b``; short rows are filled up with ``NONE``."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    new = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1)
+    valid = both != NONE
+    full = (a[:, -1] != NONE) | (b[:, -1] != NONE)
+    inside = valid & (np.cumsum(new & valid, axis=1) <= np.where(full, a.shape[1], both.shape[1])[:, None])
+    return (inside & ~new).sum(axis=1) / np.maximum((inside & new).sum(axis=1), 1)
+
+
+def _grid(sketches: list[bytes], size: int) -> np.ndarray:
+    out = np.full((len(sketches), size), NONE)
+    for k, s in enumerate(sketches):
+        values = unpacked(s)
+        out[k, : len(values)] = values
+    return out
 
 
 def _estimated(links: DataFrame, classes: DataFrame, lowest: float) -> DataFrame:
@@ -181,8 +182,8 @@ def _estimated(links: DataFrame, classes: DataFrame, lowest: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-            yield b.select(["u", "v"]).filter(pa.array([estimate(unpacked(x), unpacked(y)) >= lowest for x, y in pairs], pa.bool_()))
+            found = _similar(*(_grid(b.column(k).to_pylist(), SKETCH) for k in (2, 3)))
+            yield b.select(["u", "v"]).filter(pa.array(found >= lowest))
 
     one = classes.select(F.col("cid").alias("u"), F.col("sketch").alias("su"), F.col("n").alias("nu"))
     two = classes.select(F.col("cid").alias("v"), F.col("sketch").alias("sv"), F.col("n").alias("nv"))
@@ -190,15 +191,23 @@ def _estimated(links: DataFrame, classes: DataFrame, lowest: float) -> DataFrame
     return joined.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _verified(links: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) whose full sets have 100 * intersection >= percent * union."""
-    wanted = links.select(F.col("u").alias("cid")).union(links.select(F.col("v").alias("cid"))).distinct()
-    reps = wanted.join(members.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid").select("doc_id").distinct()
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """(cid, items) of the classes in ``wanted``: their sorted sets, or the ``most`` least values of those."""
+    reps = wanted.join(classes.select("cid", "doc_id"), "cid").select("doc_id").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = shingle_sets(b.column(0), width)
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([packed(s) for s in found], pa.binary())], ["cid", "items"])
+            ids = pa.array([set_id(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([packed(s[:most]) for s in found], pa.binary())], ["cid", "items"])
+
+    found = checked_columns(docs, "doc_id", "text").join(reps, "doc_id", "left_semi").select("text").mapInArrow(sets, "cid long, items binary")
+    return stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "near-sets")
+
+
+def _verified(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) whose full sets have 100 * intersection >= percent * union."""
+    wanted = links.select(F.col("u").alias("cid")).union(links.select(F.col("v").alias("cid"))).distinct()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,27 +218,11 @@ def _verified(links: DataFrame, docs: DataFrame, members: DataFrame, width: int,
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    found = checked_columns(docs, "doc_id", "text").join(reps, "doc_id", "left_semi").select("text").mapInArrow(sets, "cid long, items binary")
-    found = stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "near-sets")
+    found = _sets(docs, classes, wanted, width)
     one, two = found.select(F.col("cid").alias("u"), F.col("items").alias("iu")), found.select(F.col("cid").alias("v"), F.col("items").alias("iv"))
     return links.join(one, "u").join(two, "v").select("u", "v", "iu", "iv").mapInArrow(judge, "u long, v long")
 
 
-def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid) sorted by both, to (key, cid, block) with the block of each member in its list."""
-    key, seen = None, 0
-    for b in batches:
-        keys = b.column(0).to_numpy()
-        if not len(keys):
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(keys)]))))
-        if key == keys[0]:
-            rank[: starts[1] if len(starts) > 1 else None] += seen
-        key, seen = keys[-1], int(rank[-1]) + 1
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((rank // BLOCK).astype(np.int32))], ["key", "cid", "block"])
-
-
 def _estimates(codes: np.ndarray, i: int, others: np.ndarray, own: np.ndarray, blank: np.ndarray) -> np.ndarray:
     """estimate() of one sketch with many, on codes in the order of the values; ``own`` marks the codes of sketch i."""
     none = len(blank)
@@ -239,59 +232,58 @@ def _estimates(codes: np.ndarray, i: int, others: np.ndarray, own: np.ndarray, b
     union = np.concatenate([np.broadcast_to(np.where(blank[mine], none, mine), rest.shape), rest], axis=1)
     union.sort(axis=1)
     full = ~blank[mine].any() | ~blank[theirs].any(axis=1)
-    last = np.where(full, union[:, SKETCH - 1], none)[:, None]
+    last = np.where(full, union[:, codes.shape[1] - 1], none)[:, None]
     return (shared & (theirs <= last)).sum(axis=1) / np.maximum(((union <= last) & (union < none)).sum(axis=1), 1)
 
 
-def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, lowest: float) -> DataFrame:
-    """Candidate links (u, v) across components, from lists that hold several."""
-    rooted = lists.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(cid))").alias("same"))
-    # Lists with the same members give the same pairs: one of them is enough.
-    open_ = open_.where((F.col("a") != F.col("b")) & (F.col("m") > ALL_PAIRS)).groupBy("m", "same").agg(F.min("key").alias("key")).select("key")
-    rows = lists.join(open_, "key", "left_semi").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_open_lists, "key long, cid long, block int")
-    rows = stored(rows, "near-lists")
-    blocks = rows.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    full = rows.join(blocks, "key").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(classes.select("cid", "n", "sketch"), "cid")
+def _across(groups: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate links (u, v) across components, from hub groups that hold several: each pair is held against sketches
+    of ``FINE`` values, which are the whole sets of most texts. Larger groups are dealt out in pairs of blocks."""
+    rooted = groups.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = stored(rooted.join(classes.select("cid", "n"), "cid"), "near-groups")
+    open_ = rooted.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
+    rows = stored(rooted.join(open_.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub"), "near-open")
+    fine = _sets(docs, classes, rows.select("cid").distinct(), width, FINE)
+    rows = rows.join(fine, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = full.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    dealt = rows.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def run(t: pa.Table) -> pa.Table:
-        ids, root, n = (t.column(c).to_numpy() for c in ("cid", "root", "n"))
-        low = np.flatnonzero(t.column("block").to_numpy() == t.column("lo")[0].as_py())
-        here = t.column("key")[0].as_py()
-        sketches = [unpacked(s) for s in t.column("sketch").to_pylist()]
-        grid = np.full((len(ids), SKETCH), np.uint64(0xFFFFFFFFFFFFFFFF))
-        names = [np.unique(list_keys(s, int(k))) for s, k in zip(sketches, n.tolist(), strict=True)]
-        lists = np.full((len(ids), max(map(len, names))), np.iinfo(np.int64).max)
-        for k, s in enumerate(sketches):
-            grid[k, : len(s)] = s
-            lists[k, : len(names[k])] = names[k]
+        ids, root, n, block = (t.column(c).to_numpy() for c in ("cid", "root", "n", "block"))
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        grid = _grid(t.column("items").to_pylist(), FINE)
         values, codes = np.unique(grid, return_inverse=True)
-        codes = codes.reshape(grid.shape)
-        blank = values == np.uint64(0xFFFFFFFFFFFFFFFF)
-        below, ranks = np.unique(lists, return_inverse=True)
-        ranks, own = ranks.reshape(lists.shape), int(np.searchsorted(below, here))
-        in_sketch, in_lists = np.zeros(len(values), bool), np.zeros(len(below), bool)
+        codes = codes.reshape(grid.shape).astype(np.int32)
+        blank = values == NONE
+        whole = n <= FINE
+        marked = np.zeros(len(values), bool)
+        # A pair across components has an end outside the most frequent one.
+        names, counts = np.unique(root, return_counts=True)
+        outside = root != names[counts.argmax()]
         us, vs = [], []
-        for i in low.tolist():
-            # A pair is looked at in the least list that both are in, and in no other. Shared retained values bound the
-            # overlap of the union's sketch from above.
-            in_lists[ranks[i][ranks[i] < own]] = True
-            in_sketch[codes[i]] = True
-            in_sketch[blank] = False
-            able = (root != root[i]) & ~in_lists[ranks].any(axis=1) & (np.minimum(n, n[i]) >= lowest * np.maximum(n, n[i]))
-            able &= in_sketch[codes].sum(axis=1) >= lowest * np.minimum(SKETCH, np.minimum(n, n[i]))
+        for i in np.flatnonzero(outside).tolist():
+            facing = block == (hi if block[i] == lo else lo)
+            able = facing & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            able &= ~outside | (ids < ids[i])
             others = np.flatnonzero(able)
-            others = others[_estimates(codes, i, others, in_sketch, blank) >= lowest]
-            in_lists[ranks[i]] = in_sketch[codes[i]] = False
+            marked[codes[i]] = True
+            marked[blank] = False
+            shared = marked[codes[others]].sum(axis=1)
+            exact = whole[others] & whole[i]
+            sure = exact & (100 * shared >= percent * (n[others] + n[i] - shared))
+            # Shared retained values bound the overlap of the union's sketch from above.
+            maybe = ~exact & (shared >= (percent / 100 - FINE_SLACK) * np.minimum(FINE, np.maximum(n[others], n[i])))
+            rest = others[maybe]
+            rest = rest[_estimates(codes, i, rest, marked, blank) >= percent / 100 - FINE_SLACK] if len(rest) else rest
+            marked[codes[i]] = False
+            others = np.concatenate([others[sure], rest])
             us.append(np.maximum(ids[i], ids[others]))
             vs.append(np.minimum(ids[i], ids[others]))
         us, vs = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
         return pa.table({"u": us, "v": vs})
 
-    group = ["key", "lo", "hi"]
-    return dealt.select(*group, "block", "cid", "root", "n", "sketch").groupBy(*group).applyInArrow(run, "u long, v long").distinct()
+    group = ["hub", "lo", "hi"]
+    return dealt.select(*group, "block", "cid", "root", "n", "items").groupBy(*group).applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -300,17 +292,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     lowest = percent / 100 - SLACK
     members = stored(sketched(docs, width), "near-members")
     filled = members.where("n > 0")
-    classes = stored(filled.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    lists = stored(
-        _memberships(classes).repartition("key").sortWithinPartitions("key", "cid"), "near-keys"
-    )
-    links = lists.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_stars, "u long, v long").distinct()
-    first = _verified(stored(_estimated(links, classes, lowest), "near-links"), docs, members, width, percent)
+    classes = filled.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    classes = stored(classes, "near-classes")
+    keys = stored(_memberships(classes), "near-keys")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = stored(keys.join(counts, "key"), "near-lists")
+    groups = stored(_hub_groups(lists), "near-hubs")
+    spokes = groups.where("hub <> cid").select(F.greatest("hub", "cid").alias("u"), F.least("hub", "cid").alias("v"))
+    links = _short_pairs(lists).union(spokes).distinct()
+    first = _verified(stored(_estimated(links, classes, lowest), "near-links"), docs, classes, width, percent)
     first = stored(first, "near-edges")
     roots = components(first).select(F.col("node").alias("cid"), "root")
-    more = stored(_across(lists, roots, classes, lowest), "near-more")
+    more = stored(_across(groups, roots, docs, classes, width, percent), "near-more")
     if not more.isEmpty():
-        first = first.union(_verified(more, docs, members, width, percent))
+        first = first.union(_verified(more, docs, classes, width, percent))
         roots = components(first).select(F.col("node").alias("cid"), "root")
     placed = members.select("doc_id", "n", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = stored(placed, "near-placed")

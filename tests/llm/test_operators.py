@@ -135,7 +135,8 @@ def test_positional_transform():
         assert sorted(zip(who.tolist(), at.tolist())) == want  # noqa: B905
 
 
-def test_near_duplicates(spark, texts):
+def _near(texts):
+    """(n, component, kept) by comparing all pairs."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for t in texts:
@@ -147,8 +148,28 @@ def test_near_duplicates(spark, texts):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
+    return [(len(s), root[k], root[k] == k) for k, s in enumerate(sets)]
+
+
+def test_near_duplicates(spark, texts):
+    got = minhash.near_duplicates(frame(spark, texts), width=4).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got] == _near(texts)
+
+
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Altered copies of a text, many too far from it to link; groups are cut into blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r, texts = np.random.default_rng(6), []
+    for words, copies, most in ((150, 120, 12), (420, 60, 30), (12, 30, 2)):
+        base = [f"w{x}" for x in r.integers(0, 5000, words)]
+        for _ in range(copies):
+            own = list(base)
+            for at in r.integers(0, words, r.integers(0, most)):
+                own[at] = f"x{r.integers(0, 50)}"
+            texts.append(" ".join(own))
+    texts = [texts[k] for k in r.permutation(len(texts))]
     got = minhash.near_duplicates(frame(spark, texts), width=4).orderBy("doc_id").collect()
-    assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(len(s), root[k], root[k] == k) for k, s in enumerate(sets)]
+    assert [(x.n_shingles, x.component_id, x.kept) for x in got] == _near(texts)
 
 
 def test_searches(spark):
@@ -257,4 +278,5 @@ def test_estimates_of_many_are_those_of_pairs():
         own[codes[i]] = True
         own[blank] = False
         got = minhash._estimates(codes, i, np.arange(20), own, blank)
-        assert np.allclose(got, [minhash.estimate(sketches[i], s) for s in sketches])
+        assert np.allclose(got, wanted := [minhash.estimate(sketches[i], s) for s in sketches])
+        assert np.allclose(minhash._similar(np.repeat(grid[i : i + 1], 20, axis=0), grid), wanted)
