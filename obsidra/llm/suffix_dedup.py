@@ -149,6 +149,8 @@ def _settled_here(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch
     again = np.zeros(len(at), dtype=bool)
     again[order[1:]] = digests[order[1:]] == digests[order[:-1]]
     new = ~again
+    # A row that stands twice: one document, whose run counts once.
+    again[order[1:]] &= (doc[order[1:]] != doc[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
     yield pa.RecordBatch.from_arrays(
         [pa.array((anchors[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(digests[new].view(np.int64)), pa.array(doc[new]), pa.array(at[new])],
         ["anchor", "digest", "doc", "at"],
@@ -172,8 +174,9 @@ FOUND = "open int, anchor int, doc long, tag long, start long, ahead long, windo
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor, digest, doc, at: repeats of a digest come out, and the first of each where an anchor has
-    several. The first run of the anchor at hand is held back until that is known."""
-    last_anchor = last_digest = pending = None
+    several. The first run of the anchor at hand is held back until that is known. A run that comes twice is of a row that
+    stands twice, and counts once."""
+    last_anchor = last_digest = last_doc = last_at = pending = None
     for b in batches:
         anchor, digest, doc, at = (b.column(k).to_numpy() for k in range(4))
         told = (at & 255) == 255
@@ -183,7 +186,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         same_anchor = np.concatenate(([anchor[0] == last_anchor], anchor[1:] == anchor[:-1]))
         again = same_anchor & np.concatenate(([digest[0] == last_digest], digest[1:] == digest[:-1]))
-        yield _found(np.zeros(again.sum(), int), anchor[again], doc[again], at[again], at[again] & 255)
+        twice = again & np.concatenate(([doc[0] == last_doc and at[0] == last_at], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])))
+        told = again & ~twice
+        yield _found(np.zeros(told.sum(), int), anchor[told], doc[told], at[told], at[told] & 255)
         firsts = np.flatnonzero(~again)
         rest = same_anchor[firsts]  # not the anchor's first
         leads = np.flatnonzero(~rest)
@@ -199,7 +204,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending = None if several[-1] else (anchor[tail], doc[tail], at[tail])
         out = np.array(sorted(out), dtype=np.int64)
         yield _found(np.ones(len(out), int), anchor[out], doc[out], at[out], at[out] & 255)
-        last_anchor, last_digest = anchor[-1], digest[-1]
+        last_anchor, last_digest, last_doc, last_at = anchor[-1], digest[-1], doc[-1], at[-1]
 
 
 def _found(open_: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -301,7 +306,8 @@ def _compare(length: int):  # noqa: ANN202
                 if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
                     yield judged(rows)
                     rows = []
-                rows.append(row)
+                if not rows or row != rows[-1]:  # else of a row that stands twice
+                    rows.append(row)
         if rows:
             yield judged(rows)
 

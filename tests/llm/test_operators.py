@@ -121,6 +121,18 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.repeated(frame(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_suffix_dedup_of_rows_that_stand_twice(spark, texts, parts):
+    """Equal in doc_id and text, they are one document: its first copy of a passage stays."""
+    docs = frame(spark, texts)
+    want = sorted((k, *r) for k, r in enumerate(_repeats(texts, 100)))
+    got = suffix_dedup.repeated(docs.union(docs).repartition(parts)).collect()
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert found[::2] == want and found[1::2] == want
+    kept = suffix_dedup.without_repeats(docs.union(docs).repartition(parts)).collect()
+    assert sum(len((r.text or "").encode()) for r in kept) >= 2 * sum(r[1] - r[2] for r in want) - 8 * len(want)
+
+
 def test_positional_transform():
     r = random.Random(3)
     for _ in range(60):
