@@ -10,8 +10,6 @@ from obsidra.operators.logs import Options, grouped, selected
 from obsidra.plans import logql as Q
 from obsidra.plans.lexing import Cursor
 
-MOST = 10_000
-
 
 def _matched(entries: DataFrame, selector: str | None, options: Options | None) -> DataFrame:
     if selector is None:
@@ -25,18 +23,21 @@ def label_names(entries: DataFrame, selector: str | None = None, options: Option
     return _matched(entries, selector, options).select(F.explode(F.map_keys("labels")).alias("name")).distinct()
 
 
-def label_values(entries: DataFrame, name: str, selector: str | None = None, options: Options | None = None) -> DataFrame:
+def label_values(entries: DataFrame, name: str, selector: str | None = None, options: Options | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct values of a label; with ``limit``, the first in order."""
     found = _matched(entries, selector, options).select(F.col("labels")[name].alias("value")).where(F.col("value").isNotNull())
-    return found.distinct().limit(MOST)
+    found = found.distinct()
+    return found if limit is None else found.orderBy("value").limit(limit)
 
 
-def series(entries: DataFrame, selectors: list[str], options: Options | None = None) -> DataFrame:
-    """Distinct label sets that any of the selectors matches."""
+def series(entries: DataFrame, selectors: list[str], options: Options | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct label sets that any of the selectors matches; with ``limit``, the first in order."""
     found = None
     for s in selectors:
         some = _matched(entries, s, options).select("labels")
         found = some if found is None else found.union(some)
-    return found.groupBy("labels").agg(F.lit(1).alias("one")).select("labels").limit(MOST)
+    found = found.groupBy("labels").agg(F.lit(1).alias("one")).select("labels")
+    return found if limit is None else found.orderBy(F.to_json(F.array_sort(F.map_entries("labels")))).limit(limit)
 
 
 def detected_labels(entries: DataFrame, selector: str | None = None, options: Options | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from obsidra.operators import logs, metrics, profiles
+from obsidra.operators import catalog, logs, metrics, profiles
 from obsidra.plans import logql, promql, registry, traceql
 from obsidra.plans.lexing import QueryError, duration_ns
 
@@ -90,6 +90,15 @@ def test_range_split_is_consistent(spark):
     assert rate.keys() == count.keys() and all(math.isclose(rate[k], count[k]) for k in rate)
 
 
+def test_catalog_lists_are_whole(spark):
+    users = F.lpad(F.col("id").cast("string"), 5, "0")
+    df = spark.range(10_050).select(F.col("id").alias("timestamp_ns"), F.create_map(F.lit("a"), F.lit("b"), F.lit("user"), users).alias("labels"), F.lit("").alias("string"), F.lit(0.0).alias("value"))
+    assert catalog.label_values(df, "user", '{a="b"}').count() == 10_050
+    assert catalog.series(df, ['{a="b"}', '{user="00007"}']).count() == 10_050
+    assert sorted(r.value for r in catalog.label_values(df, "user", '{a="b"}', limit=2).collect()) == ["00000", "00001"]
+    assert sorted(r.labels["user"] for r in catalog.series(df, ['{a="b"}'], limit=2).collect()) == ["00000", "00001"]
+
+
 def test_histogram_quantile_and_division(spark):
     rows = [({"le": b, "j": "x"}, 1000, v) for b, v in (("1", 2.0), ("2", 6.0), ("+Inf", 8.0))]
     points = spark.createDataFrame(rows, "labels map<string,string>, ts_ms long, val double")
