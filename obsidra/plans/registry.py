@@ -291,6 +291,9 @@ def _traces() -> None:
     pairs = "SELECT quantity > 25 AS c, 'returnflag' AS key, returnflag AS val FROM s WHERE quantity > 0 UNION ALL SELECT quantity > 25, 'quantity', CAST(quantity AS VARCHAR) FROM s WHERE quantity > 0"
     add("span_compare", lambda s, d: traces.compare(spans(s, d), "{.quantity > 0} | compare({.quantity > 25}, 3)").where("key <> 'partkey'"),
         f"{SPANS} SELECT key, val, selection, baseline FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY selection + baseline DESC, val) AS p FROM (SELECT key, val, count(*) FILTER (c) AS selection, count(*) FILTER (NOT c) AS baseline FROM ({pairs}) GROUP BY ALL)) WHERE p <= 3")
+    partkeys = "SELECT l_quantity > 25, 'partkey', CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity > 0"
+    add("span_compare_all", lambda s, d: traces.compare(spans(s, d), "{.quantity > 0} | compare({.quantity > 25}, 3)"),
+        f"{SPANS} SELECT key, val, selection, baseline FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY selection + baseline DESC, val) AS p FROM (SELECT key, val, count(*) FILTER (c) AS selection, count(*) FILTER (NOT c) AS baseline FROM ({pairs} UNION ALL {partkeys}) GROUP BY ALL)) WHERE p <= 3")
 
 
 def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

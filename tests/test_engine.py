@@ -138,3 +138,9 @@ def test_query_gives_the_rows_of_its_sql(spark, views, name):
     names = list(found.columns)
     assert sorted(names) == columns
     assert got == sorted(([_norm(t[names.index(c)]) for c in columns] for t in found.fetchall()), key=repr)
+
+
+def test_compare_of_all_attributes_gives_the_rows_of_its_sql(spark, views):
+    got = sorted(tuple(r[c] for c in ("key", "val", "selection", "baseline")) for r in registry.QUERIES["span_compare_all"](spark, DATA).collect())
+    assert [k for k, *_ in got].count("partkey") == 3
+    assert got == sorted(views.sql(f"SELECT key, val, selection, baseline FROM ({registry.SQL['span_compare_all']})").fetchall())
