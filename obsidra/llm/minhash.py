@@ -3,7 +3,7 @@
 Documents with equal shingle sets form a class. A class's sketch is its k smallest shingle hashes. Inverted lists are
 kept for runs of retained values next to each other in a sketch: where two sets have Jaccard similarity t or more, few
 of the smallest hashes of their union are missing from either, so some run of four is shared (for k = 64 and t = 0.8
-the chance of none is about 1e-9; sets of under 48 shingles also have runs of three, of under six runs of two, which
+the chance of none is from 2.1e-7, for a union of 71 values, to 1.0e-6, for one set inside the other; sets of under 48 shingles also have runs of three, of under six runs of two, which
 makes it certain there). Overlaps from the lists are filtered by the similarity estimated on the union's sketch, and
 what passes is verified on full shingle sets.
 
@@ -32,11 +32,11 @@ from obsidra.llm.common import checked_columns, stored
 from obsidra.llm.components import components
 
 SKETCH = 64
-SLACK = 0.22  # over four deviations of an estimate from 64 values
+SLACK = 0.32  # over six deviations of an estimate from 64 values
 STEP = 6  # bytes of a shingle hash
 ALL_PAIRS = 4
 FINE = 256
-FINE_SLACK = 0.11  # over four deviations of an estimate from 256 values
+FINE_SLACK = 0.15  # six deviations of an estimate from 256 values
 BLOCK = 1024
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,8 +177,8 @@ def _grid(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _estimated(links: DataFrame, classes: DataFrame, lowest: float) -> DataFrame:
-    """Links (u, v) that the sketches don't rule out."""
+def _estimated(links: DataFrame, classes: DataFrame, lowest: float, percent: int = 80) -> DataFrame:
+    """Links (u, v) that neither the sketches nor the sizes rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +187,7 @@ def _estimated(links: DataFrame, classes: DataFrame, lowest: float) -> DataFrame
 
     one = classes.select(F.col("cid").alias("u"), F.col("sketch").alias("su"), F.col("n").alias("nu"))
     two = classes.select(F.col("cid").alias("v"), F.col("sketch").alias("sv"), F.col("n").alias("nv"))
-    joined = links.join(one, "u").join(two, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * int(100 * lowest))
+    joined = links.join(one, "u").join(two, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     return joined.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
@@ -289,6 +289,8 @@ def _across(groups: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataF
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document: linked are those of ``percent`` similarity or more over
     shingles of ``width`` words; component_id is the least doc_id that links lead to, and ``kept`` marks it."""
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100: the inverted lists' runs are too long for less")
     lowest = percent / 100 - SLACK
     members = stored(sketched(docs, width), "near-members")
     filled = members.where("n > 0")
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     groups = stored(_hub_groups(lists), "near-hubs")
     spokes = groups.where("hub <> cid").select(F.greatest("hub", "cid").alias("u"), F.least("hub", "cid").alias("v"))
     links = _short_pairs(lists).union(spokes).distinct()
-    first = _verified(stored(_estimated(links, classes, lowest), "near-links"), docs, classes, width, percent)
+    first = _verified(stored(_estimated(links, classes, lowest, percent), "near-links"), docs, classes, width, percent)
     first = stored(first, "near-edges")
     roots = components(first).select(F.col("node").alias("cid"), "root")
     more = stored(_across(groups, roots, docs, classes, width, percent), "near-more")

@@ -184,6 +184,20 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert [(x.n_shingles, x.component_id, x.kept) for x in got] == _near(texts)
 
 
+def test_estimates_far_below_the_similarity_pass(spark):
+    """Similarity of 0.8, but of the 64 least values of the union 34 are shared."""
+    union = np.arange(400, dtype=np.uint64)
+    alone = np.concatenate([union[:60:2], union[350:]])
+    a, b = np.setdiff1d(union, alone[::2]), np.setdiff1d(union, alone[1::2])
+    assert len(np.intersect1d(a, b)) == 320
+    classes = spark.createDataFrame([(k, len(s), bytearray(minhash.packed(s[: minhash.SKETCH]))) for k, s in ((1, a), (2, b))], "cid long, n long, sketch binary")
+    links = spark.createDataFrame([(2, 1)], "u long, v long")
+    assert 0.5 < minhash.estimate(a[: minhash.SKETCH], b[: minhash.SKETCH]) < 0.58
+    assert minhash._estimated(links, classes, 0.8 - minhash.SLACK).count() == 1
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(frame(spark, ["a b c d e"]), percent=79)
+
+
 def test_searches(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((120, 16)).astype(np.float32)
