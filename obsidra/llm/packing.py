@@ -6,14 +6,13 @@ before candidate cut j, a window from i to j costs ``length - (j - i)`` of paddi
 
     best[j] = penalty[j] + length - j + min(best[i] + i  for i in j - length .. j - 1)
 
-and the minimum comes from a monotone queue: every candidate enters and leaves it once. The ids behind the last full
-window of a block make up windows whose lengths are powers of two, which need no padding.
+and the minimum comes from a monotone queue: every candidate enters and leaves it once. A task packs its partition in
+blocks of about ``block_ids`` ids; a block's last window is left for the next block, and the partition's last ids make up
+windows whose lengths are powers of two, which need no padding. Memory is bounded by a block and a slice of text (or by
+one text, if longer), and nothing is shuffled.
 
-A task packs its partition in blocks of about ``block_ids`` ids, so memory is bounded by a block (or by one document,
-if longer) and nothing is shuffled.
-
-Defined cases: null text counts as empty (the end id alone); a repeated doc_id is packed once a row; an empty table
-gives no pieces; a null doc_id is kept as null; other columns are ignored.
+Defined cases: null text counts as empty (the end id alone); a repeated doc_id is packed once a row; a text longer than a
+block goes on in the next ones; an empty table gives no pieces; a null doc_id is kept as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from obsidra.llm.common import checked_columns, rows_as_batches
+from obsidra.llm.common import checked_columns, rows_as_batches, sliced
 from obsidra.llm.tokens import END_ID, encoder
 
 PIECES = pa.schema(
@@ -103,71 +102,79 @@ def with_tail(ends: list[int], length: int) -> list[int]:
 
 
 def pack_block(
-    ids: np.ndarray, doc_starts: np.ndarray, doc_ids: list, first_sequence: int, length: int, table: np.ndarray,
-    sentence_cost: float, forced_cost: float, grid: int,
-) -> tuple[dict[str, list], int]:
-    """The pieces of one block; ``doc_starts`` has one entry more than documents. Also the next sequence number."""
-    cuts, cost = candidate_cuts(ids, doc_starts[1:], table, sentence_cost, forced_cost, grid)
-    windows = np.concatenate(([0], with_tail(window_ends(cuts, cost, length), length)))
-    bounds = np.union1d(windows, doc_starts)
+    ids: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray, doc_ids: list, first_sequence: int, length: int,
+    table: np.ndarray, sentence_cost: float, forced_cost: float, grid: int, last: bool,
+) -> tuple[dict[str, list], int, int]:
+    """The pieces of a block of the stream, the next sequence number, and how many ids are packed: all if it is the
+    ``last``, else those up to the last window, which is left for the next block. A document may begin before the block
+    (its start is negative then) and end behind it."""
+    inside = doc_ends[doc_ends <= len(ids)]
+    cuts, cost = candidate_cuts(ids, inside if len(inside) and inside[-1] == len(ids) else np.append(inside, len(ids)), table, sentence_cost, forced_cost, grid)
+    ends = window_ends(cuts, cost, length)
+    windows = np.concatenate(([0], with_tail(ends, length) if last else ends[:-1]))
+    done = int(windows[-1])
+    bounds = np.unique(np.concatenate((windows, doc_starts[(doc_starts > 0) & (doc_starts < done)])))
     at, to = bounds[:-1], bounds[1:]
     doc = np.searchsorted(doc_starts, at, side="right") - 1
     window = np.searchsorted(windows, at, side="right") - 1
     raw = ids.astype("<u4").tobytes()
     parts = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), to.tolist(), strict=True)]
-    sizes = doc_starts[1:] - doc_starts[:-1]
     return {
         "doc_id": [doc_ids[k] for k in doc.tolist()],
         "start": (at - doc_starts[doc]).tolist(),
         "length": (to - at).tolist(),
         "ids_crc32": [zlib.crc32(x) for x in parts],
-        "doc_tokens": sizes[doc].tolist(),
+        "doc_tokens": (doc_ends - doc_starts)[doc].tolist(),
         "sequence_id": (first_sequence + window).tolist(),
         "offset": (at - windows[window]).tolist(),
         "ids": parts,
-    }, first_sequence + len(windows) - 1
+    }, first_sequence + len(windows) - 1, done
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int = END_ID, block_ids: int = 1 << 20,
-    sentence_cost: float = 1.0, forced_cost: float = 6.0, grid: int = 48, with_ids: bool = True,
+    sentence_cost: float = 64.0, forced_cost: float = 512.0, grid: int = 48, with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text), one row each; see PIECES_DDL. ``ids`` holds them as little-endian unsigned 32
-    bits, empty unless ``with_ids``. ``length`` has to be a power of two and ``grid`` at most ``length``."""
-    if length & (length - 1) or not 0 < grid <= length:
-        raise ValueError("length must be a power of two, and grid from 1 to length")
+    bits, empty unless ``with_ids``. ``length`` has to be a power of two, ``grid`` at most ``length`` and ``block_ids`` at
+    least twice that."""
+    if length & (length - 1) or not 0 < grid <= length or block_ids < 2 * length:
+        raise ValueError("length must be a power of two, grid from 1 to length, and block_ids twice length at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         table = coder.sentence_ends()
         sequence = TaskContext.get().partitionId() << 40
-        ids: list[np.ndarray] = []
-        sizes: list[int] = []
-        names: list = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, held
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            out, sequence = pack_block(
-                np.concatenate(ids), starts, names, sequence, length, table, sentence_cost, forced_cost, grid
+        held: list[np.ndarray] = []  # the stream's ids that aren't packed yet
+        docs_in: deque[tuple] = deque()  # (doc_id, start, end) of the documents they are of, counted from the first of them
+        size = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, held, docs_in, size
+            names, starts, ends = zip(*docs_in, strict=True)
+            ids = np.concatenate(held)
+            out, sequence, done = pack_block(
+                ids, np.array(starts, np.int64), np.array(ends, np.int64), names, sequence, length, table, sentence_cost, forced_cost, grid, last
             )
-            ids.clear(), sizes.clear(), names.clear()
-            held = 0
+            held, size = [ids[done:].copy()], size - done
+            docs_in = deque((n, s - done, e - done) for n, s, e in docs_in if e > done)
             if not with_ids:
                 out["ids"] = [b""] * len(out["doc_id"])
             yield from rows_as_batches(PIECES, out)
 
-        for batch in batches:
+        for batch in sliced(batches):
             found, at = coder.encode_documents(batch.column(1), end_id)
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                ids.append(found[at[k] : at[k + 1]])
-                sizes.append(int(at[k + 1] - at[k]))
-                names.append(doc)
-                held += sizes[-1]
-                if held >= block_ids:
-                    yield from flush()
-        if held:
-            yield from flush()
+            at = at.tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):  # noqa: B905
+                docs_in.append((doc, size, size + b - a))
+                while a < b:  # a long document goes on in the next block
+                    some = min(b - a, max(block_ids - size, 1))
+                    held.append(found[a : a + some].copy())
+                    size, a = size + some, a + some
+                    if size >= block_ids:
+                        yield from flush(False)
+            del found
+        if size:
+            yield from flush(True)
 
     return checked_columns(docs, "doc_id", "text").mapInArrow(run, PIECES_DDL)

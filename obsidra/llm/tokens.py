@@ -13,39 +13,52 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CHUNK_ENTRIES = 1_000_000
-PIECE_ENTRIES = 1_000_000
-SLICE_BYTES = 16 << 20
+CHUNK_BYTES = 64 << 20
+PIECE_BYTES = 128 << 20
+ENTRY_BYTES = 190  # of a short text, its ids and their place in the table, besides what both hold
+SLICE_BYTES = 4 << 20
 
 
 class Cache:
-    """Two generations of at most ``most // 2`` entries each, so the entries in use outlive a full cache."""
+    """Two generations of at most ``most // 2`` bytes each, so the entries in use outlive a full cache."""
 
     def __init__(self, most: int):
         self.most = most
+        self.held = 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def find(self, words: list[str]) -> list[bytes | None]:
-        old = self.old
-        return [x if x is not None else old.get(w) for w, x in zip(words, map(self.young.get, words), strict=True)]
+        found = list(map(self.young.get, words))
+        if self.old:
+            old = self.old
+            again = {w: x for w, y in zip(words, found, strict=True) if y is None and (x := old.get(w)) is not None}
+            if again:  # what is still in use moves to the young
+                self.add(again)
+                found = [again.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
 
     def add(self, fresh: dict[str, bytes]) -> None:
-        if len(self.young) + len(fresh) > self.most // 2:
-            self.old, self.young = self.young, {}
+        size = ENTRY_BYTES * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        if size > self.most // 2:  # what stands first in a text is most likely to come again
+            fresh, size = dict(islice(fresh.items(), len(fresh) * (self.most // 2) // size)), self.most // 2
+        if self.held + size > self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young.update(fresh)
+        self.held += size
 
 
 class Encoder:
     """Two caches: of chunks between spaces, and of the letter and punctuation pieces that chunks are made of."""
 
-    def __init__(self, path: str, chunks: int = CHUNK_ENTRIES, pieces: int = PIECE_ENTRIES):
+    def __init__(self, path: str, chunks: int = CHUNK_BYTES, pieces: int = PIECE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,6 +74,17 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """As whole(), of words of letters that split on their own when they stand together (with their spaces in front
+        of them in a byte vocabulary): the library's work a text is done once for many."""
+        found = self.tokenizer.encode_batch([("" if self.byte_level else " ").join(words)], add_special_tokens=False)[0]
+        which = found.word_ids
+        if None in which or not which or which[-1] + 1 != len(words):
+            return self.whole(words)
+        raw = array("I", found.ids).tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.array(which), minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
     def _parts(self, chunk: str) -> tuple[str, ...] | None:
         """Pieces that encode on their own, or None where only the library can tell."""
         if m := _PLAIN.fullmatch(chunk if self.byte_level else chunk.lower()):
@@ -147,21 +171,22 @@ class Encoder:
             some = some.filter(pa.array(plain))
             coded = (some if self.byte_level else pc.utf8_lower(some)).dictionary_encode()
             which[plain, k] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(units) + 1
-            units += self._piece_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), front)
+            units += self._piece_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), front, k == 0 and (front == " " or not self.byte_level))
         sizes = np.concatenate(([0], np.fromiter(map(len, units), dtype=np.int64, count=len(units)) // 4))
         flat = np.frombuffer(b"".join(units), dtype="<u4")
         out, _ = _gather(flat, np.cumsum(sizes) - sizes, sizes, which.ravel())
         return out, sizes[which].sum(axis=1)
 
-    def _piece_ids(self, pieces: list[str], before: str) -> list[bytes]:
-        """Ids of distinct pieces, each with ``before`` in front."""
+    def _piece_ids(self, pieces: list[str], before: str, words: bool) -> list[bytes]:
+        """Ids of distinct pieces, each with ``before`` in front; ``words`` if of_words() can take them."""
         keys = [before + p for p in pieces] if before else pieces
         found = self.pieces.find(keys)
         missing = [p for p, x in zip(keys, found, strict=True) if x is None]
         new = {"": b""} if "" in missing else {}
-        for at in range(0, len(missing), 20_000):
-            some = [p for p in missing[at : at + 20_000] if p]
-            new.update(zip(some, self.whole(some), strict=True))
+        size, encode = (2000, self.of_words) if words else (20_000, self.whole)
+        for at in range(0, len(missing), size):
+            some = [p for p in missing[at : at + size] if p]
+            new.update(zip(some, encode(some), strict=True))
         self.pieces.add(new)
         return [new[p] if x is None else x for p, x in zip(keys, found, strict=True)]
 
