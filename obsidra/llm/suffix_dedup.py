@@ -5,28 +5,30 @@ before it in its own. The input decides, not what is left of it.
 
 1. Every window of ``length`` bytes has an anchor: the leftmost of its k-byte strings of least hash. Equal windows have
    equal anchors at equal offsets, so only windows of one anchor can be equal. Neighbouring windows with one anchor
-   form a run. Runs with equal bytes are settled by digest: all but the first are repeats, whole.
-2. What remains are anchors over runs that differ in some byte. Their distinct runs, under 2 * length bytes each, make
-   up a collection of short documents, aligned at their anchors. Suffixes are put in order column by column, from the
-   last: each round inserts one symbol per document, which gives the collection's Burrows-Wheeler transform at that
-   column, and updates the prefixes in common, from a sequential file of columns. As equal windows stand in the same
-   column, only suffixes of one column are ordered among each other (the positional form of the transform); a round
-   costs the number of documents, not that of all suffixes so far. Neighbours with ``length`` bytes in common are equal
-   windows.
-3. The windows found go back to their documents, and the bytes that they cover are cut out.
-
-A task holds one batch of texts, or one collection of bounded size (unless a single anchor has more distinct runs).
+   form a run, of under 2 * length bytes. Anchors do no more than deal out work: no repeat is settled by a hash.
+2. The runs of anchors that have several make up collections of short documents, aligned at their anchors. Suffixes are
+   put in order column by column, from the last: each round inserts one symbol per document, which gives the collection's
+   Burrows-Wheeler transform at that column, and updates the prefixes in common, from a sequential file of columns. As
+   equal windows stand in the same column, only suffixes of one column are ordered among each other (the positional form
+   of the transform); a round costs the number of documents, not that of all suffixes so far. Neighbours with ``length``
+   bytes in common are equal windows: bytes decide.
+3. Collections grow from slices of a task's texts to parts of an anchor's runs to all of them. A run whose windows all
+   stand earlier in its collection goes no further, so thousands of copies shrink to one a slice, then one a part.
+4. The windows found go back to their documents, and the bytes that they cover are cut out.
+
+A task holds a slice of texts, or one collection of bounded size (unless one anchor has more runs that differ). The file
+of columns is in memory, as executors may not count on folders of their own.
 
 Defined cases: null text is empty; rows with the same doc_id and different texts are documents of their own, in an
 order fixed by a hash of the text; rows equal in both are one document and answered alike; a null doc_id comes before
-all others; matches never cross documents; an empty table gives no rows; other columns are ignored by ``repeated`` and
-kept by ``without_repeats``.
+all others; matches never cross documents; a text longer than a slice is a slice of its own, its windows taken in blocks;
+an empty table gives no rows; other columns are ignored by ``repeated`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import io
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -36,11 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsidra.llm.common import checked_columns, stored
+from obsidra.llm.common import checked_columns, sliced, stored
 
 ANCHOR = 32
 BLOCK_BYTES = 2 << 20
 COLLECTION = 20_000
+PART = 4096  # runs of one anchor that are compared at once before all that are left
 FIRST = -(1 << 63)  # stands for a null doc_id
 _RNG = np.random.default_rng(20240229)
 _SYMBOL = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,10 +74,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of one text: starts of the runs of windows, how many windows each has, how far on its anchor is, the anchors'
-    hashes, the runs' digests."""
+    hashes."""
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     if len(data) > BLOCK_BYTES + length:  # long texts in blocks of windows
         parts = []
         for at in range(0, len(data) - length + 1, BLOCK_BYTES):
@@ -98,15 +101,12 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     place = (np.minimum(behind[:windows], ahead[wide - 1 : wide - 1 + windows]) & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     counts = np.diff(np.concatenate((starts, [windows])))
-    ends = starts + counts + length - 1
-    with np.errstate(over="ignore"):
-        digests = _mixed((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64))
-    return starts, counts, place[starts] - starts, strings[place[starts]], digests
+    return starts, counts, place[starts] - starts, strings[place[starts]]
 
 
 def _tag(text: Column | str) -> Column:
-    """18 bits that tell texts of one doc_id apart."""
-    return F.shiftrightunsigned(F.xxhash64(text), 46)
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -114,202 +114,206 @@ def _documents(docs: DataFrame) -> DataFrame:
     return named.select("doc", _tag("text").alias("tag"), F.encode("text", "UTF-8").alias("raw"))
 
 
-#: A run: at holds, from the top, tag (18 bits), start (30), the anchor's distance from it (7), windows (8). A settled
-#: repeat: windows 255, digest their true number.
-RUNS = "anchor int, digest long, doc long, at long"
+#: windows: of a repeat (kind 0) how many it has; of a run (kind 1) those of its text from start on, its anchor being
+#: ``ahead`` bytes on. part: which of an anchor's parts a run is in.
+RUNS = "kind int, anchor int, doc long, tag long, start long, ahead int, windows int"
+FOUND = RUNS + ", part int"
+RUN_NAMES = ["kind", "anchor", "doc", "tag", "start", "ahead", "windows"]
 
 
-def _at(tag: np.ndarray, starts: np.ndarray, ahead: np.ndarray | int, windows: np.ndarray | int) -> np.ndarray:
-    return (tag << 45) + (starts << 15) + (ahead << 8) + windows
+def _rows(kind: int, anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, ahead: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    small = [np.full(len(doc), kind), anchor, ahead, windows]
+    k, a, h, w = (pa.array(x.astype(np.int32)) for x in small)
+    return pa.RecordBatch.from_arrays([k, a, pa.array(doc), pa.array(tag), pa.array(start), h, w], RUN_NAMES)
 
 
 def _map_runs(length: int):  # noqa: ANN202
+    """Texts to their runs that don't wholly stand earlier in the slice at hand, and to the repeats that the slice shows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, size = [], 0
+        for b in sliced(batches, 2 << 20):
+            held: list[tuple] = []
+            raws: list[np.ndarray] = []
+            base = 0
             for doc, tag, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                starts, *rest = runs_of(data, length)
-                held.append((np.full(len(starts), doc), np.full(len(starts), tag), starts, *rest))
-                size += len(starts)
-                if size > 500_000:
-                    yield from _settled_here(held)
-                    held, size = [], 0
-            if size:
-                yield from _settled_here(held)
+                starts, counts, ahead, anchors = runs_of(data, length)
+                if len(starts):
+                    held.append((np.full(len(starts), doc), np.full(len(starts), tag), starts, starts + base, counts, ahead, anchors))
+                    raws.append(data)
+                    base += len(data)
+            if held:
+                yield from _locally(np.concatenate(raws), *(np.concatenate(x) for x in zip(*held, strict=True)), length)
 
     return run
 
 
-def _settled_here(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Runs that first show up here, and repeats that already these texts show, joined where they touch."""
-    doc, tag, starts, counts, ahead, anchors, digests = (np.concatenate(x) for x in zip(*held, strict=True))
-    at = _at(tag, starts, ahead, counts)
-    order = np.lexsort((at, doc, digests))
-    again = np.zeros(len(at), dtype=bool)
-    again[order[1:]] = digests[order[1:]] == digests[order[:-1]]
-    new = ~again
-    # A row that stands twice: one document, whose run counts once.
-    again[order[1:]] &= (doc[order[1:]] != doc[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((anchors[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(digests[new].view(np.int64)), pa.array(doc[new]), pa.array(at[new])],
-        ["anchor", "digest", "doc", "at"],
-    )
-    which = np.flatnonzero(again)
-    if len(which):
-        joins = (np.diff(which) == 1) & (doc[which[1:]] == doc[which[:-1]]) & (tag[which[1:]] == tag[which[:-1]]) & (starts[which[1:]] == starts[which[:-1]] + counts[which[:-1]])
-        heads = np.flatnonzero(np.concatenate(([True], ~joins)))
-        total = np.add.reduceat(counts[which], heads)
-        first = which[heads]
-        spread = _mixed(digests[first] + starts[first].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((spread >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(total), pa.array(doc[first]), pa.array(_at(tag[first], starts[first], 0, 255))],
-            ["anchor", "digest", "doc", "at"],
-        )
-
-
-#: open: 1 for a run whose anchor has other runs too; else a repeat of ``windows`` windows.
-FOUND = "open int, anchor int, doc long, tag long, start long, ahead long, windows long"
+def _locally(
+    flat: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, begin: np.ndarray, windows: np.ndarray, ahead: np.ndarray, anchor: np.ndarray, length: int
+) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((start, tag, doc, anchor))
+    same = anchor[order[1:]] == anchor[order[:-1]]
+    twice = same & (doc[order[1:]] == doc[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
+    order = order[np.concatenate(([True], ~twice))]  # else of a row that stands twice
+    doc, tag, start, begin, windows, ahead, anchor = (x[order] for x in (doc, tag, start, begin, windows, ahead, anchor))
+    names = (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    heads = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    sizes = np.diff(np.append(heads, len(anchor)))
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    alive = np.ones(len(anchor), dtype=bool)
+    at = 0
+    while at < len(several):
+        to = min(at + COLLECTION, len(several))
+        while to < len(several) and anchor[several[to]] == anchor[several[to - 1]]:
+            to += 1
+        some = several[at:to]
+        some = some[np.lexsort((start[some], tag[some], doc[some]))]
+        who, offset, n, whole = repeats_of(flat, begin[some], windows[some] + length - 1, ahead[some], length)
+        alive[some[whole]] = False
+        own = some[who]
+        yield _rows(0, _spread(start[own] + offset, doc[own]), doc[own], tag[own], start[own] + offset, np.zeros(len(own), int), n)
+        at = to
+    yield _rows(1, names[alive], doc[alive], tag[alive], start[alive], ahead[alive], windows[alive])
+
+
+def _spread(start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Anchors' stand-ins for repeats, which may go anywhere."""
+    return (_mixed(start.astype(np.uint64) + doc.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor, digest, doc, at: repeats of a digest come out, and the first of each where an anchor has
-    several. The first run of the anchor at hand is held back until that is known. A run that comes twice is of a row that
-    stands twice, and counts once."""
-    last_anchor = last_digest = last_doc = last_at = pending = None
+    """Of runs sorted by anchor, doc, tag, start: those whose anchor has several, numbered into parts; repeats pass. The
+    last row at hand is held back until it is known whether its anchor goes on."""
+    last: tuple | None = None  # the row held back, and how many of its anchor came before
     for b in batches:
-        anchor, digest, doc, at = (b.column(k).to_numpy() for k in range(4))
-        told = (at & 255) == 255
-        yield _found(np.zeros(told.sum(), int), anchor[told], doc[told], at[told], digest[told])
-        anchor, digest, doc, at = (x[~told] for x in (anchor, digest, doc, at))
-        if not len(anchor):
+        kind = b.column(0).to_numpy()
+        yield _parted(b.filter(pa.array(kind == 0)), np.zeros(int((kind == 0).sum()), int))
+        b = b.filter(pa.array(kind == 1))
+        before = 0
+        if last is not None:
+            b = pa.Table.from_batches([last[0], b]).combine_chunks().to_batches()[0]
+            before = last[1]
+        if not b.num_rows:
             continue
-        same_anchor = np.concatenate(([anchor[0] == last_anchor], anchor[1:] == anchor[:-1]))
-        again = same_anchor & np.concatenate(([digest[0] == last_digest], digest[1:] == digest[:-1]))
-        twice = again & np.concatenate(([doc[0] == last_doc and at[0] == last_at], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])))
-        told = again & ~twice
-        yield _found(np.zeros(told.sum(), int), anchor[told], doc[told], at[told], at[told] & 255)
-        firsts = np.flatnonzero(~again)
-        rest = same_anchor[firsts]  # not the anchor's first
-        leads = np.flatnonzero(~rest)
-        before = leads[0] if len(leads) else len(firsts)
-        out = list(firsts[rest])
-        if before and pending is not None:  # the held run's anchor has others
-            yield _found(np.ones(1, int), *(np.array([x]) for x in pending), np.array([pending[2] & 255]))
-            pending = None
-        several = np.diff(np.concatenate((leads, [len(firsts)]))) > 1
-        out += list(firsts[leads[several]])
-        if len(leads):
-            tail = firsts[leads[-1]]
-            pending = None if several[-1] else (anchor[tail], doc[tail], at[tail])
-        out = np.array(sorted(out), dtype=np.int64)
-        yield _found(np.ones(len(out), int), anchor[out], doc[out], at[out], at[out] & 255)
-        last_anchor, last_digest, last_doc, last_at = anchor[-1], digest[-1], doc[-1], at[-1]
-
-
-def _found(open_: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(open_.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(at >> 45), pa.array(at >> 15 & ((1 << 30) - 1)), pa.array(at >> 8 & 127), pa.array(windows.astype(np.int64))],
-        ["open", "anchor", "doc", "tag", "start", "ahead", "windows"],
-    )
-
-
-def columns_of(texts: list[bytes], ahead: np.ndarray, file: BinaryIO) -> tuple[int, int]:
-    """Writes the collection's columns, last first, one symbol per text and column: its byte plus one, or 0 beyond the
-    text. ``ahead`` is how many bytes each text has before the column that all are aligned to. Returns the first column
-    (minus the most bytes ahead) and how many there are."""
-    lens = np.array([len(t) for t in texts], dtype=np.int64)
+        anchor, doc, tag, start = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
+        same = anchor[1:] == anchor[:-1]
+        twice = np.concatenate(([False], same & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])))
+        if twice.any():
+            b = b.filter(pa.array(~twice))
+            anchor = anchor[~twice]
+            same = anchor[1:] == anchor[:-1]
+        heads = np.flatnonzero(np.concatenate(([True], ~same)))
+        sizes = np.diff(np.append(heads, len(anchor)))
+        place = np.arange(len(anchor)) - np.repeat(heads, sizes)
+        place[: sizes[0]] += before
+        several = np.repeat(sizes, sizes) > 1
+        several[: sizes[0]] |= before > 0
+        several[-1] = False
+        yield _parted(b.filter(pa.array(several)), place[several] // PART)
+        last = (b.slice(b.num_rows - 1), int(place[-1]))
+    if last is not None and last[1]:
+        yield _parted(last[0], np.array([last[1] // PART]))
+
+
+def _parted(rows: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(part.astype(np.int32))], [*RUN_NAMES, "part"])
+
+
+def columns_of(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, ahead: np.ndarray, file: BinaryIO) -> tuple[int, int]:
+    """Writes the columns of the collection whose texts are flat[begin : begin + lens], last column first, one symbol per
+    text and column: its byte plus one, or 0 beyond the text. ``ahead`` is how many bytes each text has before the column
+    that all are aligned to. Returns the first column (minus the most bytes ahead) and how many there are."""
     first, last = -int(ahead.max(initial=0)), int((lens - ahead).max(initial=0))
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
-    begin = np.cumsum(lens) - lens
     for column in range(last - 1, first - 1, -1):
         at = column + ahead
         has = (at >= 0) & (at < lens)
-        symbols = np.zeros(len(texts), dtype=np.uint8)
-        symbols[has] = flat[(begin + at)[has]]
+        symbols = flat[np.where(has, begin + at, 0)] + np.uint8(1)  # no byte of UTF-8 is 255
+        symbols[~has] = 0
         file.write(symbols.tobytes())
     return first, last - first
 
 
-def aligned_suffixes(texts: list[bytes], ahead: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def aligned_suffixes(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, ahead: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Column by column from the last: the column, the texts in the order of their suffixes from it, and the prefix each
     has in common with the one before (counted up to ``most``; 0 where a text has no byte there).
 
     A round inserts one symbol per text in front of its suffix: the symbols, taken in the order so far, are the
     transform of this column, and sorting them stably gives the next order. Two neighbours with one symbol have one more
     in common than the least prefix between them before. Columns are a sequential file, read once."""
-    m = len(texts)
-    with tempfile.TemporaryFile() as file:
-        first, columns = columns_of(texts, ahead, file)
-        file.seek(0)
-        order, common = np.arange(m), np.zeros(m, dtype=np.uint8)
-        for column in range(first + columns - 1, first - 1, -1):
-            transform = np.frombuffer(file.read(m), dtype=np.uint8)[order]
-            place = np.argsort(transform, kind="stable")
-            sorted_ = transform[place]
-            twin = np.zeros(m, dtype=bool)
-            twin[1:] = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] > 0)
-            before = np.concatenate(([0], place[:-1]))
-            common = np.where(twin, np.minimum(_least(common, before, place, twin) + 1, most), 0).astype(np.uint8)
-            order = order[place]
-            yield column, order, common
-
-
-def repeated_windows(texts: list[bytes], ahead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and start of each window of ``length`` bytes that an earlier text has in the same column."""
+    m = len(begin)
+    file = io.BytesIO()
+    first, columns = columns_of(flat, begin, lens, ahead, file)
+    file.seek(0)
+    order, common = np.arange(m), np.zeros(m + 1, dtype=np.uint8)  # the last entry stands behind the texts
+    for column in range(first + columns - 1, first - 1, -1):
+        transform = np.frombuffer(file.read(m), dtype=np.uint8)[order]
+        place = np.argsort(transform, kind="stable")
+        sorted_ = transform[place]
+        # From one text to the next with its symbol; where the symbol changes, what comes out isn't used.
+        least = np.minimum.reduceat(common, place + 1)[:-1]
+        twin = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] > 0)
+        common = np.zeros(m + 1, dtype=np.uint8)
+        common[1:m] = np.where(twin, np.minimum(least, most - 1) + np.uint8(1), 0)
+        order = order[place]
+        yield column, order, common[:m]
+
+
+def repeats_of(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, ahead: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The windows of ``length`` bytes that an earlier text has in the same column, joined where they touch: text, first
+    start and number; and which texts have all their windows among them."""
     owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for column, order, common in aligned_suffixes(texts, ahead, length):
+    for column, order, common in aligned_suffixes(flat, begin, lens, ahead, length):
         same = common >= length
         if same.any():
+            # Texts in one group are neighbours; the least number is the earliest text.
             heads = np.flatnonzero(~same)
-            least = np.minimum.reduceat(order, heads)
-            again = np.ones(len(order), dtype=bool)
-            again[heads[np.diff(np.append(heads, len(order))) == 1]] = False
-            again &= order != np.repeat(least, np.diff(np.append(heads, len(order))))
+            sizes = np.diff(np.append(heads, len(order)))
+            least = np.repeat(np.minimum.reduceat(order, heads), sizes)
+            again = np.repeat(sizes > 1, sizes) & (order != least)
             owners.append(order[again])
             starts.append(column + ahead[order[again]])
-    return np.concatenate(owners), np.concatenate(starts)
-
-
-def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Least of values[low + 1 .. high] where valid, else 0."""
-    out = np.zeros(len(low), dtype=np.int64)
-    which = np.flatnonzero(valid)
-    which = which[np.argsort(-low[which], kind="stable")]  # falling, so that what lies between two ranges is one entry
-    if len(which):
-        padded = np.concatenate((values, [0]))
-        bounds = np.empty(2 * len(which), dtype=np.int64)
-        bounds[0::2], bounds[1::2] = low[which] + 1, high[which] + 1
-        out[which] = np.minimum.reduceat(padded, bounds)[0::2]
-    return out
+    owner, start = np.concatenate(owners), np.concatenate(starts)
+    whole = np.bincount(owner, minlength=len(begin)) == lens - length + 1
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    heads = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)))[: len(owner)])
+    return owner[heads], start[heads], np.diff(np.append(heads, len(owner))), whole
 
 
 def _compare(length: int):  # noqa: ANN202
-    """Runs sorted by anchor, doc, tag, start, with bytes; out come their repeated windows, joined where they touch."""
-
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        owner, offset = repeated_windows([r[5] for r in rows], np.array([r[4] for r in rows]), length)
-        order = np.lexsort((offset, owner))
-        owner, offset = owner[order], offset[order]
-        heads = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))[: len(owner)])
-        sizes = np.diff(np.concatenate((heads, [len(owner)])))
-        who = [rows[k] for k in owner[heads].tolist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[1] for r in who], pa.int64()), pa.array([r[2] for r in who], pa.int64()), pa.array([r[3] + int(o) for r, o in zip(who, offset[heads], strict=True)], pa.int64()), pa.array(sizes, pa.int64())],
-            ["doc", "tag", "start", "windows"],
-        )
+    """Runs sorted by anchor, part, doc, tag, start, with bytes; out come their repeats, and the runs that aren't wholly
+    repeats of others at hand."""
+
+    def judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        rows = rows.take(pa.array(np.lexsort(tuple(rows.column(k).to_numpy() for k in (3, 2, 1)))))
+        anchor, doc, tag, start, ahead, windows = (rows.column(k).to_numpy() for k in range(6))
+        raw = rows.column(6)
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        flat = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1]) | (anchor[1:] != anchor[:-1])))
+        own = np.flatnonzero(new)  # else of a row that stands twice
+        who, offset, n, whole = repeats_of(flat, offsets[own], offsets[own + 1] - offsets[own], ahead[own].astype(np.int64), length)
+        hit, left = own[who], own[~whole]
+        yield _rows(0, anchor[hit], doc[hit], tag[hit], start[hit] + offset, np.zeros(len(hit), int), n)
+        yield _rows(1, anchor[left], doc[left], tag[left], start[left], ahead[left], windows[left])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "ahead", "raw")), strict=True):
-                if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
-                    yield judged(rows)
-                    rows = []
-                if not rows or row != rows[-1]:  # else of a row that stands twice
-                    rows.append(row)
-        if rows:
-            yield judged(rows)
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in sliced(batches, 2 << 20, COLLECTION):
+            anchor = b.column(0).to_numpy()
+            if size >= COLLECTION // 2 and len(anchor):
+                change = np.flatnonzero(anchor != held[-1].column(0)[held[-1].num_rows - 1].as_py())
+                if len(change):
+                    cut = int(change[0])
+                    yield from judged([*held, b.slice(0, cut)])
+                    held, size, b = [], 0, b.slice(cut)
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+        if held:
+            yield from judged(held)
 
     return run
 
@@ -320,19 +324,25 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length must be from {ANCHOR + 1} to 180")
     texts = _documents(docs)
     runs = texts.mapInArrow(_map_runs(length), RUNS)
-    found = runs.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "at").mapInArrow(_settle, FOUND)
+    found = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start").mapInArrow(_settle, FOUND)
     found = stored(found, "suffix-found")
-    open_ = found.where("open = 1").drop("open")
-    # First the texts that have open runs at all: their ids are few, and Spark broadcasts them if they are small.
-    holders = stored(open_.select("doc", "tag").distinct(), "suffix-holders")
-    cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"]).select("anchor", "doc", "tag", "start", "ahead", "windows", "raw")
-    cut = cut.select("anchor", "doc", "tag", "start", "ahead", F.substring("raw", (F.col("start") + 1).cast("int"), (F.col("windows") + length - 1).cast("int")).alias("raw"))
-    partial = (
-        cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start")
-        .mapInArrow(_compare(length), "doc long, tag long, start long, windows long")
-    )
-    partial = stored(partial, "suffix-partial")
-    whole = found.where("open = 0").select("doc", "tag", "start", "windows").union(partial)
+    whole = found.where("kind = 0").select("doc", "tag", "start", "windows")
+
+    def compared(open_: DataFrame, keys: list[str]) -> DataFrame:
+        # First the texts that have open runs at all: their ids are few, and Spark broadcasts them if they are small.
+        holders = stored(open_.select("doc", "tag").distinct(), "suffix-holders")
+        cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"])
+        piece = F.substring("raw", (F.col("start") + 1).cast("int"), (F.col("windows") + length - 1).cast("int"))
+        cut = cut.select("anchor", "doc", "tag", "start", "ahead", "windows", piece.alias("raw"), *[k for k in keys if k != "anchor"])
+        dealt = cut.repartition(*keys).sortWithinPartitions(*keys, "doc", "tag", "start")
+        return stored(dealt.mapInArrow(_compare(length), RUNS), "suffix-compared")
+
+    first = compared(found.where("kind = 1").drop("kind"), ["anchor", "part"])
+    whole = whole.union(first.where("kind = 0").select(*whole.columns))
+    hot = found.where("part > 0").select("anchor").distinct()
+    if not hot.isEmpty():  # anchors with several parts: what is left of those, together
+        left = first.where("kind = 1").drop("kind").join(hot, "anchor", "left_semi")
+        whole = whole.union(compared(left, ["anchor"]).where("kind = 0").select(*whole.columns))
     return whole.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
@@ -350,7 +360,7 @@ def repeated(docs: DataFrame, *, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; ``kept`` has the remaining bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for raw, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
@@ -370,14 +380,14 @@ def repeated(docs: DataFrame, *, length: int = 100) -> DataFrame:
 
 def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (characters cut in two go as well); n_chars, if there, fits."""
-    spans = repeats(docs, length)
-    marked = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(FIRST)), "__tag": _tag(F.coalesce("text", F.lit("")))})
-    joined = marked.join(spans.withColumnsRenamed({"doc": "__doc", "tag": "__tag"}), ["__doc", "__tag"], "left")
-    names = docs.columns
+    names, schema = docs.columns, T.StructType(docs.schema.fields)
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    marked = docs.select(*own, F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("doc"), _tag(F.coalesce(F.col("text"), F.lit(""))).alias("tag"))
+    joined = marked.join(repeats(docs, length), ["doc", "tag"], "left").select(*[f"c{k}" for k in range(len(names))], "spans")
     at, last = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = []
             for text, found in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
                 if found:
@@ -388,5 +398,5 @@ def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "spans").mapInArrow(run, T.StructType(docs.schema.fields))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = joined.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
