@@ -12,9 +12,13 @@ hub, and the verified links joined to components. Lists with the same hub form o
 in one component are settled. Of the others, pairs across components are held against longer sketches, in blocks of
 bounded size, and the few that pass are verified.
 
+Texts, sets and pairs are worked on in slices of bounded size; a text or set longer than a slice is one of its own.
+
 Defined cases: null or wordless text has an empty set and no links; fewer words than a shingle has make one shingle;
-rows that repeat a doc_id are documents of their own with that id; an empty table gives no rows; other columns are
-ignored by ``near_duplicates`` and kept by ``keep_first``.
+rows that repeat a doc_id are documents of their own with that id; a null doc_id links like any other, but isn't the
+least: a component's id is null only if it has no other; an empty table gives no rows; other columns are ignored by
+``near_duplicates`` and kept, whatever their names, by ``keep_first``, which goes by row: of each component one row
+stays, of rows equal in doc_id and text any one.
 """
 
 from __future__ import annotations
@@ -25,15 +29,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsidra.llm.common import checked_columns, stored
+from obsidra.llm.common import checked_columns, sliced, stored
 from obsidra.llm.components import components
 
 SKETCH = 64
 SLACK = 0.32  # over six deviations of an estimate from 64 values
-STEP = 6  # bytes of a shingle hash
 ALL_PAIRS = 4
 FINE = 256
 FINE_SLACK = 0.15  # six deviations of an estimate from 256 values
@@ -49,7 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Per text the sorted distinct hashes (48 bits) of its shingles of ``width`` words; ASCII letters in lower case."""
+    """Per text the sorted distinct hashes (64 bits) of its shingles of ``width`` words; ASCII letters in lower case."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.string())))
     heads = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.values.slice(int(heads[0]), int(heads[-1] - heads[0])).dictionary_encode()
@@ -65,27 +68,25 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
         rolled = np.zeros(max(len(flat) - width + 1, 0), dtype=np.uint64)
         for k in range(width):
             rolled = rolled * factor + flat[k : k + len(rolled)]
-    rolled = _mixed(rolled) >> np.uint64(16)
+    rolled = _mixed(rolled)
     out = []
     for a, b in zip(heads.tolist(), heads[1:].tolist()):  # noqa: B905
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
             short = xxhash.xxh3_64_intdigest(flat[a:b].tobytes(), seed=b - a)
-            out.append(np.array([short >> 16], dtype=np.uint64))
+            out.append(np.array([short], dtype=np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
 def packed(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :STEP].tobytes()
+    return values.astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // STEP, 8), dtype=np.uint8)
-    out[:, :STEP] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, STEP)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, dtype="<u8")
 
 
 def set_id(values: np.ndarray) -> int:
@@ -113,32 +114,37 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text); the tag, a hash of the text, tells rows of one doc_id apart."""
+    return checked_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, cid, sketch) per document."""
+    """(doc_id, tag, n, cid, sketch) per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column(1), width)
+        for b in sliced(batches):
+            sets = shingle_sets(b.column(2), width)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
+                    b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
                     pa.array([packed(s[:SKETCH]) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "cid", "sketch"],
+                ["doc_id", "tag", "n", "cid", "sketch"],
             )
 
-    return checked_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, sketch binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, tag long, n long, cid long, sketch binary")
 
 
 def _memberships(classes: DataFrame) -> DataFrame:
     """(key, cid) for every list a class is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys = [list_keys(unpacked(s), n) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             lens = [len(k) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), lens))], ["key", "cid"]
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(), lens))], ["key", "cid"]
             )
 
     return classes.select("cid", "n", "sketch").mapInArrow(run, "key long, cid long")
@@ -181,7 +187,7 @@ def _estimated(links: DataFrame, classes: DataFrame, lowest: float, percent: int
     """Links (u, v) that neither the sketches nor the sizes rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = _similar(*(_grid(b.column(k).to_pylist(), SKETCH) for k in (2, 3)))
             yield b.select(["u", "v"]).filter(pa.array(found >= lowest))
 
@@ -193,16 +199,16 @@ def _estimated(links: DataFrame, classes: DataFrame, lowest: float, percent: int
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, most: int | None = None) -> DataFrame:
     """(cid, items) of the classes in ``wanted``: their sorted sets, or the ``most`` least values of those."""
-    reps = wanted.join(classes.select("cid", "doc_id"), "cid").select("doc_id").distinct()
+    reps = wanted.join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = shingle_sets(b.column(0), width)
-            ids = pa.array([set_id(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([packed(s[:most]) for s in found], pa.binary())], ["cid", "items"])
+        for b in sliced(batches):
+            found = shingle_sets(b.column(1), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(s[:most]) for s in found], pa.binary())], ["cid", "items"])
 
-    found = checked_columns(docs, "doc_id", "text").join(reps, "doc_id", "left_semi").select("text").mapInArrow(sets, "cid long, items binary")
-    return stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "near-sets")
+    texts = _keyed(docs)
+    found = texts.join(reps, (F.col("tag") == F.col("rep_tag")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("cid", "text")
+    return stored(found.mapInArrow(sets, "cid long, items binary").dropDuplicates(["cid"]), "near-sets")
 
 
 def _verified(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -210,10 +216,10 @@ def _verified(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     wanted = links.select(F.col("u").alias("cid")).union(links.select(F.col("v").alias("cid"))).distinct()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = unpacked(x), unpacked(y)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (unpacked(v.as_buffer()) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -286,15 +292,14 @@ def _across(groups: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataF
     return dealt.select(*group, "block", "cid", "root", "n", "items").groupBy(*group).applyInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document: linked are those of ``percent`` similarity or more over
-    shingles of ``width`` words; component_id is the least doc_id that links lead to, and ``kept`` marks it."""
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, tag, n, root) per document; root names its component."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100: the inverted lists' runs are too long for less")
     lowest = percent / 100 - SLACK
     members = stored(sketched(docs, width), "near-members")
     filled = members.where("n > 0")
-    classes = filled.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    classes = filled.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "tag")).alias("rep"))
     classes = stored(classes, "near-classes")
     keys = stored(_memberships(classes), "near-keys")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -309,16 +314,36 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     if not more.isEmpty():
         first = first.union(_verified(more, docs, classes, width, percent))
         roots = components(first).select(F.col("node").alias("cid"), "root")
-    placed = members.select("doc_id", "n", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = stored(placed, "near-placed")
+    placed = members.select("doc_id", "tag", "n", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return stored(placed.drop("cid"), "near-placed")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document: linked are those of ``percent`` similarity or more over
+    shingles of ``width`` words; component_id is the least doc_id that links lead to, and ``kept`` marks it."""
+    placed = _placed(docs, width, percent)
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = placed.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that link to one of a smaller doc_id, with all columns."""
-    gone = near_duplicates(docs, width=width, percent=percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component of ``docs``, that of the least doc_id, with all columns."""
+    placed = _placed(docs, width, percent).where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    groups = placed.groupBy("root").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = placed.join(groups, "root").groupBy("doc_id", "tag").agg(
+        F.first(F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("tag") == F.col("m.tag"))).alias("leads"), F.count(F.lit(1)).alias("size")
+    )
+    rows = stored(rows.where("NOT leads OR size > 1"), "near-gone")
+    inner = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(inner).select("row", F.col("row.doc_id").alias("own_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("own_tag"))
+
+    def same(marks: DataFrame) -> Column:
+        return (keyed["own_tag"] == marks["tag"]) & keyed["own_id"].eqNullSafe(marks["doc_id"])
+
+    once = keyed.join(rows, same(rows), "left_anti").select("row")
+    if not (twice := rows.where("leads")).isEmpty():  # rows that stand several times, of which one stays
+        again = keyed.join(twice, same(twice), "left_semi")
+        once = once.union(again.groupBy("own_id", "own_tag").agg(F.first("row").alias("row")).select("row"))
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
