@@ -2,21 +2,24 @@
 
 A rolling hash over the last ``WINDOW`` ids cuts each document's id stream where the hash's low bits are zero, so equal
 passages give equal chunks wherever they stand. A chunk is stored once, under the BLAKE2b digest of its ids. A
-document's recipe lists the digests of its chunks and the root of the Merkle tree over them; a manifest has the Merkle
-root over the recipes of each recipe file, and one over those.
+document's recipe lists the digests of its chunks and the root of the Merkle tree over them; the manifest is the tree
+above: a node over each ``FAN`` neighbouring recipes, one over the nodes of each recipe file, one over all files. Reading
+works it out again from the recipes and raises if a node isn't there or has changed, a chunk is missing or has other ids,
+or a recipe's chunks don't add up to its number of ids.
 
 Files, all under one folder, as Parquet:
 
 - ``objects/kind=chunk``: key (digest), n_ids, payload (ids as little-endian unsigned 16 or 32 bits, zstandard)
 - ``recipes``: doc_id ascending from file to file and within each; n_tokens, root, digests on end, part (number of the file)
-- ``manifest``: part, documents, n_tokens, root
+- ``manifest``: level (0 to 2), part, block, documents, n_tokens, root
 
 Encoding happens once and the ids cross the network once, on their way to the one place of each chunk. Reading joins
 chunk digests, lengths and checksums with the recipes; crc32 is linear, so that of a document is the exclusive or of
 those of its chunks, each shifted by the bytes behind it.
 
 Defined cases: null text counts as empty (the end id alone); rows with the same doc_id are kept apart and ordered by
-root; a null doc_id comes first; an empty table gives an empty store; other columns are ignored.
+root; a null doc_id comes first; a long text is many chunks, of which a task holds one text's at a time; an empty table
+gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsidra.llm.common import checked_columns
+from obsidra.llm.common import checked_columns, sliced
 from obsidra.llm.tokens import END_ID, encoder
 
 DIGEST = 16
 WINDOW = 8
+FAN = 1024
 OBJECTS = pa.schema(
     [("key", pa.binary()), ("kind", pa.string()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64())]
 )
@@ -87,7 +91,7 @@ def write(
         coder = encoder(tokenizer_path)
         narrow = "<u2" if coder.vocab_size <= 1 << 16 and end_id < 1 << 16 else "<u4"
         pressed = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in sliced(batches):
             found, at = coder.encode_documents(batch.column(1), end_id)
             seen: set[bytes] = set()
             rows: dict[str, list] = {f.name: [] for f in OBJECTS}
@@ -145,7 +149,7 @@ def write(
         .write.option("compression", "zstd")
         .parquet(f"{path}/recipes")
     )
-    manifest_of(spark, path).write.parquet(f"{path}/manifest")
+    manifest_of(_recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
 def _add(rows: dict[str, list], key: bytes, kind: str, n: int, payload: bytes, doc: int | None) -> None:
@@ -161,21 +165,34 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, root binary, digests binary, part int").parquet(f"{path}/recipes")
 
 
-def manifest_of(spark: SparkSession, path: str) -> DataFrame:
-    """(part, documents, n_tokens, root) per recipe file; the root is over the recipes' roots in their order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "root"))), lambda x: F.hex(x["root"]))
-    return _recipes(spark, path).groupBy("part").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sha2(F.concat_ws("", ordered), 256).alias("root"),
-    )
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """(level, part, block, documents, n_tokens, root) of the nodes above the recipes; a node's root is the SHA-256 of the
+    roots below it in their order. Lists are of at most ``FAN`` recipes, of a file's nodes, of one entry a file."""
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "root")) - 1
+    leaves = recipes.select("part", "n_tokens", "root", place.alias("place")).withColumn("block", F.floor(F.col("place") / FAN))
+
+    def above(nodes: DataFrame, level: int, keys: list[str], order: str, documents: Column) -> DataFrame:
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, "root"))), lambda x: F.hex(x["root"]))
+        root = F.unhex(F.sha2(F.concat_ws("", ordered), 256))
+        made = nodes.groupBy(*keys).agg(documents.cast("long").alias("documents"), F.sum("n_tokens").alias("n_tokens"), root.alias("root"))
+        return made.withColumn("level", F.lit(level))
+
+    blocks = above(leaves, 0, ["part", "block"], "place", F.count(F.lit(1)))
+    files = above(blocks, 1, ["part"], "block", F.sum("documents")).withColumn("block", F.lit(-1).cast("long"))
+    top = above(files.drop("level"), 2, [], "part", F.sum("documents"))
+    top = top.where("documents > 0").withColumns({"part": F.lit(-1), "block": F.lit(-1).cast("long")})
+    columns = ["level", "part", "block", "documents", "n_tokens", "root"]
+    return blocks.select(*columns).union(files.select(*columns)).union(top.select(*columns))
 
 
 def verify(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes still have the roots that the manifest names."""
+    """Whether the recipes still have the tree that the manifest names."""
     there = spark.read.parquet(f"{path}/manifest")
-    now = manifest_of(spark, path)
-    return there.exceptAll(now).isEmpty() and now.exceptAll(there).isEmpty()
+    now = manifest_of(_recipes(spark, path))
+    same = [there[c].eqNullSafe(now[c]) for c in ("level", "part", "block")]
+    both = there.join(now, same[0] & same[1] & same[2], "full_outer")
+    alike = there["root"].eqNullSafe(now["root"]) & there["documents"].eqNullSafe(now["documents"]) & there["n_tokens"].eqNullSafe(now["n_tokens"])
+    return both.where(~alike).isEmpty()
 
 
 def _unpacked(payload: bytes, n_ids: int, key: bytes) -> np.ndarray:
@@ -241,34 +258,42 @@ def shifted_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crc, behind = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shifted_crc(crc, behind).astype(np.int64))], ["root", "crc"])
+        crc, behind = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shifted_crc(crc, behind).astype(np.int64)), batch.column(2)], ["root", "crc", "n"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per document, from the files; every chunk and recipe is verified."""
+    """(doc_id, start, n_tokens, ids_crc32) per document, from the files; every chunk, recipe and node is verified."""
+    if not verify(spark, path):
+        raise ValueError(f"the recipes of {path} don't have the tree that its manifest names")
     chunks = _objects(spark, path, "chunk").select("key", "n_ids", "payload")
     sums = chunks.mapInArrow(_chunk_sums, "digest binary, n long, crc long")
     recipes = _recipes(spark, path)
-    distinct = recipes.groupBy("root").agg(F.first("digests").alias("digests"))
-    steps = distinct.mapInArrow(_steps, "root binary, place long, digest binary").join(sums, "digest")
+    # Once per text and file: a text that stands in a third of all documents is a row a file.
+    held = recipes.groupBy("root", "part").agg(F.first("digests").alias("digests"))
+    distinct = held.groupBy("root").agg(F.first("digests").alias("digests"))
+    steps = distinct.mapInArrow(_steps, "root binary, place long, digest binary").join(sums, "digest", "left")
+    missing = F.raise_error(F.concat(F.lit("missing chunk "), F.hex("digest"))).cast("long")
+    steps = steps.select("root", "place", F.coalesce("n", missing).alias("n"), "crc")
     behind = Window.partitionBy("root").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
-    moved = steps.select("root", "crc", (F.coalesce(F.sum("n").over(behind), F.lit(0)) * 4).alias("behind"))
+    moved = steps.select("root", "crc", "n", (F.coalesce(F.sum("n").over(behind), F.lit(0)) * 4).alias("behind"))
     by_root = (
-        moved.mapInArrow(_shifted, "root binary, crc long")
+        moved.mapInArrow(_shifted, "root binary, crc long, n long")
         .groupBy("root")
-        .agg(F.expr("bit_xor(crc)").alias("ids_crc32"))
+        .agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.sum("n").alias("n_ids"))
     )
+    by_part = held.select("root", "part").join(by_root, "root")
     # Ids before each file: a row a file, so a window over all of them is small.
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.select("doc_id", "n_tokens", "root", "part", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("own"))
+    odd = F.raise_error(F.concat(F.lit("chunks don't add up to the ids of recipe "), F.hex("root"))).cast("long")
     return (
         placed.join(parts, "part")
-        .join(by_root, "root")
-        .select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+        .join(by_part, ["part", "root"])
+        .select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", F.when(F.col("n_ids") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(odd).alias("ids_crc32"))
     )
 
 
@@ -285,6 +310,8 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
     chunks = _objects(spark, path, "chunk").select("key", "n_ids", "payload").mapInArrow(wide, "digest binary, ids binary")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])
-    whole = steps.join(chunks, "digest").groupBy("root").agg(ordered.alias("parts"))
+    missing = F.raise_error(F.concat(F.lit("missing chunk "), F.hex("digest"))).cast("binary")
+    found = steps.join(chunks, "digest", "left").select("root", "place", F.coalesce("ids", missing).alias("ids"))
+    whole = found.groupBy("root").agg(ordered.alias("parts"))
     joined = F.aggregate("parts", F.expr("cast('' as binary)"), lambda a, x: F.concat(a, x)).alias("ids")
     return _recipes(spark, path).select("doc_id", "root").join(whole.select("root", joined), "root")
