@@ -5,12 +5,14 @@ deviations of each segment, d(q, x)^2 >= l * sum((mean_q - mean_x)^2 + (dev_q -
 distance bounds the inner product (|q|^2 + |x|^2 - d^2) / 2 from above. Coarse resolutions come first; a candidate that
 can't reach the k-th best exact score so far is dropped, and survivors get exact integer scores.
 
-The stated queries meet all rows in blocks: blocks of queries are copied to a fixed number of places, blocks of rows
-are dealt over those, and each pair of blocks is searched on its own.
-
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of several
-lengths are compared as if filled with zeros; of equal scores the smaller vec_id comes first; rows that repeat a vec_id
-are candidates each, but never of the same id; an empty table gives no rows; other columns are ignored.
+The stated queries meet all rows in tiles: groups of queries times shares of the rows, as many as the rows ask for, each
+tile one task's. A tile's queries are held; its rows stream by in blocks, and what a query has found so far prunes the
+next blocks. A tile gives k rows a query at most.
+
+Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no
+part; vectors of several lengths are compared as if filled with zeros; of equal scores the smaller vec_id comes first;
+rows that repeat a vec_id count as one, with the least of their vectors; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsidra.llm.common import sliced
 from obsidra.llm.vectors import asked, matrix, ranked, usable
 
 RESOLUTIONS = (1, 4, 16)
+PAIRS = 1 << 15  # pairs that finer bounds are worked out for at once
 
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, int]:
@@ -35,78 +39,129 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, int]:
     return np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1), size
 
 
-def score_bounds(q: np.ndarray, x: np.ndarray, segments: int) -> np.ndarray:
-    """Upper bounds on all inner products, from the lower bounds on distances at this resolution."""
-    a, size = statistics(q, segments)
-    b, _ = statistics(x, segments)
-    lower = size * ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T)
-    norms = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :]
-    return (norms - lower) / 2 + 1e-9 * norms + 1e-6  # room for rounding
-
-
-def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its id, and ids and exact scores of its k best in the block."""
-    width = max(q.shape[1], x.shape[1])
-    q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-    bounds = score_bounds(q, x, RESOLUTIONS[0])
-    bounds[q_ids[:, None] == x_ids[None, :]] = -np.inf
-    # The k-th exact score among the candidates that look best at the coarsest resolution is within reach of all.
-    some = min(k, x.shape[0])
-    likely = np.argpartition(-bounds, some - 1, axis=1)[:, :some]
-    seen = np.einsum("qkd,qd->qk", x[likely], q)
-    seen[np.take_along_axis(bounds, likely, axis=1) == -np.inf] = -np.inf
-    floor = seen.min(axis=1)
-    alive = bounds >= floor[:, None]
-    for segments in RESOLUTIONS[1:]:
-        if segments < width:
-            alive &= score_bounds(q, x, segments) >= floor[:, None]
-    alive &= bounds > -np.inf
-    for r in range(len(q)):
-        at = np.flatnonzero(alive[r])
-        scores = x[at] @ q[r]  # whole numbers below 2**53: exact
-        best = np.lexsort((x_ids[at], -scores))[:k]
-        yield int(q_ids[r]), x_ids[at[best]], scores[best]
-
-
-def _blocks(df: DataFrame, scale: int, rows: int) -> DataFrame:
-    """(ids, data, width) per block of at most ``rows`` integer vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                whole = np.floor(matrix(part.column(1)) * scale).astype("<i8")
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "data": [whole.tobytes()], "width": [whole.shape[1]]})
-
-    return df.mapInArrow(run, "ids binary, data binary, width long")
-
-
-def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, query_block: int = 512, row_block: int = 4096, places: int = 32) -> DataFrame:
+def slack(norms: np.ndarray) -> np.ndarray:
+    """Room for rounding in a bound."""
+    return 1e-9 * norms + 1e-6
+
+
+class Queries:
+    """Queries with their statistics, and the best candidates that each has found."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.norms = (q * q).sum(axis=1)
+        self.levels = {s: statistics(q, s) for s in RESOLUTIONS if s <= q.shape[1]}
+        self.found = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+
+    def floor(self) -> np.ndarray:
+        """Per query the k-th best score so far."""
+        scores = self.found[1]
+        return scores[:, self.k - 1] if scores.shape[1] >= self.k else np.full(len(self.q), -np.inf)
+
+    def look(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Searches a block of rows: bounds from coarse to fine, each only for the pairs that the one before left."""
+        norms = (x * x).sum(axis=1)
+        first, size = self.levels[RESOLUTIONS[0]]
+        own, _ = statistics(x, RESOLUTIONS[0])
+        lower = size * ((first * first).sum(axis=1)[:, None] + (own * own).sum(axis=1)[None, :] - 2 * first @ own.T)
+        both = self.norms[:, None] + norms[None, :]
+        bounds = (both - lower) / 2 + slack(both)
+        bounds[self.ids[:, None] == ids[None, :]] = -np.inf
+        floor = self.floor()
+        if self.found[1].shape[1] < self.k or not np.isfinite(floor).all():
+            # At the start: the k that look best at the coarsest resolution.
+            some = min(self.k, len(x))
+            likely = np.argpartition(-bounds, some - 1, axis=1)[:, :some]
+            scores = np.einsum("qkd,qd->qk", x[likely], self.q)
+            scores[np.take_along_axis(bounds, likely, axis=1) == -np.inf] = -np.inf
+            if some == self.k:
+                floor = np.maximum(floor, scores.min(axis=1))
+        rows, cols = np.nonzero((bounds >= floor[:, None]) & (bounds > -np.inf))
+        for segments in [s for s in self.levels if s > RESOLUTIONS[0]]:
+            a, size = self.levels[segments]
+            b, _ = statistics(x, segments)
+            keep = []
+            for at in range(0, len(rows), PAIRS):
+                r, c = rows[at : at + PAIRS], cols[at : at + PAIRS]
+                gap = a[r] - b[c]
+                total = self.norms[r] + norms[c]
+                keep.append((total - size * (gap * gap).sum(axis=1)) / 2 + slack(total) >= floor[r])
+            alive = np.concatenate([np.zeros(0, bool), *keep])
+            rows, cols = rows[alive], cols[alive]
+        scores = np.concatenate([np.zeros(0), *(np.einsum("pd,pd->p", self.q[rows[at : at + PAIRS]], x[cols[at : at + PAIRS]]) for at in range(0, len(rows), PAIRS))])
+        self._merge(rows, ids[cols], scores)  # whole numbers below 2**53: exact
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        old_ids, old = self.found
+        n = len(self.q)
+        held = np.isfinite(old)
+        rows = np.concatenate([np.nonzero(held)[0], rows])
+        ids, scores = np.concatenate([old_ids[held], ids]), np.concatenate([old[held], scores])
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < self.k
+        out_ids, out = np.zeros((n, self.k), np.int64), np.full((n, self.k), -np.inf)
+        out_ids[rows[best], place[best]], out[rows[best], place[best]] = ids[best], scores[best]
+        self.found = out_ids, out
+
+    def answers(self) -> pa.RecordBatch:
+        ids, scores = self.found
+        held = np.isfinite(scores)
+        who = np.repeat(self.ids, held.sum(axis=1)) if held.size else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[held]), pa.array(scores[held].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, row_block: int = 2048, tile_rows: int = 1 << 17, tile_queries: int = 1 << 13, least_tiles: int = 24) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each row whose id is divisible by ``every``."""
     able = usable(vectors, zero_too=True)
-    queries = able.where(asked(every))
-    n = max(1, math.ceil(queries.count() / (4 * query_block)))
-    q = _blocks(queries.repartition(n), scale, query_block).select(
-        F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"),
-        F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"),
-    )
-    x = _blocks(able, scale, row_block).withColumn("place", (F.abs(F.xxhash64("ids")) % places).cast("int"))
+    size = able.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked(every)).alias("q"), F.max(F.size("embedding")).alias("width")).first()
+    width = size.width or 1
+    groups = max(1, math.ceil(size.q / tile_queries))
+    shares = max(1, math.ceil(size.n / tile_rows), min(math.ceil(least_tiles / groups), math.ceil(size.n / 512)))
+    tiles = groups * shares
+    to_tile = lambda g, s: (g * shares + s).cast("int").alias("tile")
+    group, share = F.pmod(F.xxhash64("vec_id"), F.lit(groups)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares))
+    every_share, every_group = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asking = able.where(asked(every)).select("vec_id", "embedding", group.alias("g"), every_share.alias("s"))
+    held = able.select("vec_id", "embedding", every_group.alias("g"), share.alias("s"))
+    rows = asking.withColumn("kind", F.lit(0)).union(held.withColumn("kind", F.lit(1))).select(to_tile(F.col("g"), F.col("s")), "kind", "vec_id", "embedding")
+    dealt = rows.repartitionByRange(tiles, "tile").sortWithinPartitions("tile", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                names = [np.frombuffer(row[c], dtype="<i8") for c in ("q_ids", "ids")]
-                data = [np.frombuffer(row[c], dtype="<i8").reshape(-1, row[w]).astype(float) for c, w in (("q_data", "q_width"), ("data", "width"))]
-                found = list(block_top(data[0], names[0], data[1], names[1], k))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64)),
-                        pa.array(np.concatenate([i for _, i, _ in found])),
-                        pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64)),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    pairs = q.join(x, "place").drop("place").mapInArrow(run, "query_id long, vec_id long, score long")
-    return ranked(pairs, k)
+        tile, ids, asks = None, [], []
+        current: list[Queries] = []
+        for part in sliced(batches, rows=row_block):
+            for at, to in _stretches(part):
+                own = part.slice(at, to - at)
+                name, kind = own.column(0)[0].as_py(), own.column(1)[0].as_py()
+                if name != tile:
+                    for some in current:
+                        yield some.answers()
+                    tile, ids, asks, current = name, [], [], []
+                x = np.floor(matrix(own.column(3)) * scale)
+                x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                names = own.column(2).to_numpy()
+                if kind == 0:
+                    ids.append(names)
+                    asks.append(x)
+                elif asks:
+                    if not current:
+                        q_ids, q = np.concatenate(ids), np.concatenate(asks)
+                        current = [Queries(q_ids[j : j + 1024], q[j : j + 1024], k) for j in range(0, len(q), 1024)]
+                    for some in current:
+                        some.look(names, x)
+        for some in current:
+            yield some.answers()
+
+    return ranked(dealt.mapInArrow(run, "query_id long, vec_id long, score long"), k)
+
+
+def _stretches(part: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Where rows of one tile and kind begin and end."""
+    if not part.num_rows:
+        return []
+    tile, kind = (part.column(c).to_numpy() for c in (0, 1))
+    cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1])) + 1
+    bounds = [0, *cuts.tolist(), len(tile)]
+    return list(zip(bounds, bounds[1:]))  # noqa: B905

@@ -14,11 +14,14 @@ from obsidra.llm.common import checked_columns
 
 def usable(vectors: DataFrame, *, zero_too: bool) -> DataFrame:
     """(vec_id, embedding as array<double>) of the rows that take part: no null or non-finite component, and, unless
-    ``zero_too``, some component that isn't zero."""
+    ``zero_too``, some component that isn't zero. Of rows that repeat a vec_id the least vector stands for all."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     found = checked_columns(vectors, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     found = found.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad))
-    return found if zero_too else found.where(F.exists("embedding", lambda x: x != 0))
+    found = found if zero_too else found.where(F.exists("embedding", lambda x: x != 0))
+    if found.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
