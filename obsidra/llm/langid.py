@@ -1,12 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word's bytes both ways, labels every position, and is trained by backpropagation through time on
-words of a bounded sample of labelled documents. A document's languages are pooled from the log-probabilities of all
-its positions. State starts anew at each word, so a batch runs the network once per distinct word however often it
-occurs; every word of the whole text counts.
+The network reads a text's bytes (in lower case, white space as one blank) both ways, labels every position, and is
+trained by backpropagation through time on windows of a bounded sample of labelled documents. A document's language is
+pooled from the log-probabilities of all its positions. To read many places at once, texts are cut into segments; each
+direction's state is carried into a segment by reading the ``WARM`` bytes before it (behind it, for the way back), whose
+own labels aren't counted again. Every byte of the whole text counts once.
 
 Defined cases: null text or text without a letter gives ``und`` with score 1; without any labelled row every document
-gives ``und`` with score 0; repeated rows are each answered; other columns are ignored.
+gives ``und`` with score 0; a null doc_id isn't held out (held_out is null) and isn't learnt from; a text longer than a
+slice is a slice of its own; repeated rows are each answered; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidra.llm.common import bucket_of, checked_columns
+from obsidra.llm.common import bucket_of, checked_columns, sliced
 
-WORD_BYTES = 24
+SEGMENT = 256
+WARM = 24
+BLANK = 32
 
 
 @dataclass
@@ -117,69 +121,61 @@ def gradients(net: Network, words: np.ndarray, labels: np.ndarray) -> tuple[floa
     return loss, [one[0], two[0], one[1], two[1], one[2], two[2], out, flat.sum(axis=0)]
 
 
-def _cut(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words cut to WORD_BYTES at most, and which word each piece is of."""
-    pieces, of = [], []
-    for k, w in enumerate(words):
-        for at in range(0, max(len(w), 1), WORD_BYTES):
-            pieces.append(w[at : at + WORD_BYTES])
-            of.append(k)
-    return pieces, np.array(of, dtype=np.int64)
-
-
-def _by_length(pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes and byte matrix of the pieces of each length; empty ones are left out."""
-    lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    order = np.argsort(lens, kind="stable")
-    bounds = np.searchsorted(lens[order], np.arange(1, WORD_BYTES + 2))
-    for size in range(1, WORD_BYTES + 1):
-        which = order[bounds[size - 1] : bounds[size]]
-        if len(which):
-            yield which, np.frombuffer(b"".join([pieces[k] for k in which]), dtype=np.uint8).reshape(len(which), size)
-
-
-def word_scores(net: Network, words: list[bytes], block: int = 4096) -> np.ndarray:
-    """Per word the sums over its positions of the log-probabilities of each language; last column: positions."""
-    pieces, of = _cut(words)
-    got = np.zeros((len(pieces), len(net.langs) + 1))
-    for which, matrix in _by_length(pieces):
-        for at in range(0, len(which), block):
-            logp, _ = position_log_probs(net, matrix[at : at + block])
-            got[which[at : at + block], :-1] = logp.sum(axis=0)
-        got[which, -1] = matrix.shape[1]
-    out = np.zeros((len(words), len(net.langs) + 1))
-    np.add.at(out, of, got)
+def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts raw[starts[k] : starts[k + 1]] in segments: a row of bytes each, with WARM bytes on either side (blanks where
+    the text ends); how many bytes count, and which text each is of."""
+    sizes = np.diff(starts)
+    counts = -(-sizes // SEGMENT)
+    of = np.repeat(np.arange(len(sizes)), counts)
+    place = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
+    at = (starts[:-1][of] + place)[:, None] + np.arange(-WARM, SEGMENT + WARM)[None, :]
+    inside = (at >= starts[:-1][of][:, None]) & (at < starts[1:][of][:, None])
+    rows = np.where(inside, raw[np.clip(at, 0, max(len(raw) - 1, 0))], BLANK).astype(np.uint8) if len(of) else np.zeros((0, SEGMENT + 2 * WARM), np.uint8)
+    return rows, np.minimum(SEGMENT, sizes[of] - place), of
+
+
+def text_scores(net: Network, raw: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
+    """Per text the sums over its positions of the log-probabilities of each language; last column: positions."""
+    rows, held, of = segments(raw, starts)
+    out = np.zeros((len(starts) - 1, len(net.langs) + 1))
+    for at in range(0, len(rows), block):
+        n, some = held[at : at + block], rows[at : at + block]
+        used = int(n.max())
+        some = some[:, : used + 2 * WARM]
+        logp = _segment_log_probs(net, some, used)
+        counts = np.arange(used)[:, None] < n[None, :]
+        np.add.at(out[:, :-1], of[at : at + block], np.einsum("tnl,tn->nl", logp, counts))
+    np.add.at(out[:, -1], of, held)
     return out
 
 
-def train(samples: list[tuple[str, list[bytes]]], *, hidden: int = 12, steps: int = 700, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
-    """Network fitted to (language, words) samples by Adam; languages are drawn alike whatever their shares."""
+def _segment_log_probs(net: Network, rows: np.ndarray, used: int) -> np.ndarray:
+    """Log-probabilities (position, segment, language) of the ``used`` positions between the warming bytes; each direction
+    stops where they end."""
+    ahead = _direction(rows[:, : WARM + used], net.inputs[0], net.recur[0], net.bias[0], None)[WARM:]
+    behind = _direction(rows[:, : WARM - 1 : -1], net.inputs[1], net.recur[1], net.bias[1], None)[WARM:][::-1]
+    size = net.recur[0].shape[0]
+    logits = ahead @ net.out[:size] + behind @ net.out[size:] + net.out_bias
+    logits -= logits.max(axis=2, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+
+
+def train(samples: list[tuple[str, bytes]], *, hidden: int = 10, steps: int = 400, batch: int = 160, window: int = 32, rate: float = 0.03, seed: int = 7) -> Network:
+    """Network fitted to (language, bytes) samples by Adam, on windows drawn from them; languages are drawn alike
+    whatever their shares."""
     langs = sorted({lang for lang, _ in samples})
     net = new_network(langs, hidden, seed)
     rng = np.random.default_rng(seed)
-    pools: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    pieces: list[bytes] = []
-    labels: list[int] = []
-    for lang, words in samples:
-        some, _ = _cut(words)
-        pieces += some
-        labels += [langs.index(lang)] * len(some)
-    kinds = np.array(labels)
-    sizes = []
-    for which, matrix in _by_length(pieces):
-        own = kinds[which]
-        groups = [np.flatnonzero(own == k) for k in range(len(langs))]
-        pools[matrix.shape[1]] = [(matrix[g], np.full(len(g), k)) for k, g in enumerate(groups) if len(g)]
-        sizes.append((matrix.shape[1], len(which)))
-    if not sizes:
+    own = [np.frombuffer(b"".join(x + b" " * window for lang, x in samples if lang == name and x), dtype=np.uint8) for name in langs]
+    pools = [(k, x) for k, x in enumerate(own) if len(x) > window]
+    if not pools:
         return net
-    lengths, counts = np.array([s for s, _ in sizes]), np.array([c for _, c in sizes], dtype=float)
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
     for step in range(1, steps + 1):
-        size = int(rng.choice(lengths, p=counts / counts.sum()))
-        picks = [(m[i], y[i]) for m, y in pools[size] for i in [rng.integers(0, len(m), max(1, batch // len(pools[size])))]]
-        _, grads = gradients(net, np.concatenate([m for m, _ in picks]), np.concatenate([y for _, y in picks]))
+        n = max(1, batch // len(pools))
+        rows = np.concatenate([x[rng.integers(0, len(x) - window, n)[:, None] + np.arange(window)[None, :]] for _, x in pools])
+        _, grads = gradients(net, rows, np.repeat([k for k, _ in pools], n))
         pace = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(net.parameters(), grads, first, second, strict=True):
             a += 0.1 * (g - a)
@@ -188,60 +184,63 @@ def train(samples: list[tuple[str, list[bytes]]], *, hidden: int = 12, steps: in
     return net
 
 
-def _words(texts: pa.Array) -> pa.ListArray:
-    return pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("").cast(pa.string())))
+def _bytes_of(texts: pa.Array) -> pa.Array:
+    """Lower case, each stretch of white space as one blank."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("").cast(pa.string())), r"\s+", " ")
 
 
-def sample_words(docs: DataFrame, held_out_modulus: int, held_out: int, rows: int, words: int) -> list[tuple[str, list[bytes]]]:
-    """At most ``rows`` labelled documents outside the held-out fold, lowest id hash first, each with at most ``words``
-    words spread evenly over its whole text."""
+def sampled(docs: DataFrame, held_out_modulus: int, held_out: int, rows: int, most: int) -> list[tuple[str, bytes]]:
+    """At most ``rows`` labelled documents outside the held-out fold, lowest id hash first, each with at most ``most``
+    bytes in words spread evenly over its whole text."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(bucket_of("doc_id", held_out_modulus) != held_out, F.lit(False)))
     chosen = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [x[:: max(1, -(-len(x) // words))] for x in _words(b.column(1)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.string()))], ["lang", "words"])
-
-    # At most ``rows`` ids: the bound of the broadcast.
-    found = able.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(thin, "lang string, words array<string>").collect()
-    return sorted((r.lang, [w.encode() for w in r.words]) for r in found)
-
-
-def identify(docs: DataFrame, *, modulus: int = 3, held_out: int = 1, sample_rows: int = 2000, sample_words_each: int = 150, sharpness: int = 24) -> DataFrame:
+        for b in sliced(batches):
+            out = []
+            for x in _bytes_of(b.column(1)).to_pylist():
+                words = x.encode().split(b" ")
+                # Groups of eight words keep what stands together; the bound is on all of them.
+                groups = [b" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+                step = max(1, -(-sum(map(len, groups)) // most))
+                out.append(b" ".join(groups[::step])[:most])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["lang", "some"])
+
+    # At most ``rows`` ids: the bound of the broadcast. Rows that repeat an id stand beside it, in order.
+    found = able.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(thin, "lang string, some binary").distinct()
+    return [(r.lang, bytes(r.some)) for r in found.orderBy("lang", "some").limit(rows).collect()]
+
+
+def identify(docs: DataFrame, *, modulus: int = 3, held_out: int = 1, sample_rows: int = 2000, sample_bytes_each: int = 1000, sharpness: int = 24) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of ``docs`` (doc_id, text, lang)."""
     docs = checked_columns(docs, "doc_id", "text", "lang")
-    samples = sample_words(docs, modulus, held_out, sample_rows, sample_words_each)
+    samples = sampled(docs, modulus, held_out, sample_rows, sample_bytes_each)
     net = train(samples) if samples else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1 << 20):
             texts = b.column(2)
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             langs, scores = np.full(len(texts), "und", dtype=object), np.where(lettered, 0.0, 1.0)
-            if net is not None:
-                lists = _words(texts)
-                heads = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.values.slice(int(heads[0]), int(heads[-1] - heads[0])).dictionary_encode()
-                heads = heads - heads[0]
-                per_word = word_scores(net, [w.encode() for w in coded.dictionary.to_pylist()])
-                total = np.zeros((len(texts), per_word.shape[1]))
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                full = np.flatnonzero(heads[1:] > heads[:-1])
-                if len(full):
-                    for c in range(per_word.shape[1]):
-                        total[full, c] = np.add.reduceat(per_word[codes, c], heads[full])
-                sums, n = total[:, :-1], np.maximum(total[:, -1:], 1)
-                pooled = sums / n * np.minimum(n, sharpness)
-                p = np.exp(pooled - pooled.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                names = np.array(net.langs, dtype=object)
-                langs = np.where(lettered, names[best], langs)
-                scores = np.where(lettered, p[np.arange(len(p)), best], scores)
+            if net is not None and len(texts):
+                own = _bytes_of(texts)
+                starts = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+                raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+                p = pooled(text_scores(net, raw, starts - starts[0]), sharpness)
+                langs = np.where(lettered, np.array(net.langs, dtype=object)[p.argmax(axis=1)], langs)
+                scores = np.where(lettered, p.max(axis=1), scores)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )
 
     marked = docs.select("doc_id", (bucket_of("doc_id", modulus) == held_out).alias("held_out"), "text")
     return marked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def pooled(totals: np.ndarray, sharpness: int) -> np.ndarray:
+    """Probabilities per text from the sums of its positions: the mean log-probability, counted as often as there are
+    positions, but ``sharpness`` times at most."""
+    n = np.maximum(totals[:, -1:], 1)
+    logs = totals[:, :-1] / n * np.minimum(n, sharpness)
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)

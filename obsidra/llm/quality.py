@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidra.llm.common import bucket_of, checked_columns
+from obsidra.llm.common import bucket_of, checked_columns, sliced
 
 N_FEATURES = 256 + 14
 
@@ -100,7 +100,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, modulus: int, held_out
     chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [features(t).astype("<f4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -118,7 +118,7 @@ def score(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held_out: int
     marked = docs.select("doc_id", (bucket_of("doc_id", modulus) == held_out).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = scores_of(ranking, b.column(2).to_pylist(), cut)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(found), pa.array((found >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
@@ -145,7 +145,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held_out:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(scores_of(ranking, b.column(at).to_pylist(), cut) >= cut))
 
     return docs.mapInArrow(run, docs.schema)
