@@ -139,21 +139,25 @@ def test_positional_transform():
         ts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(1, 8))]
         ahead = np.array([r.randrange(min(3, len(t))) for t in ts])
         size = r.randrange(1, 5)
-        who, at = suffix_dedup.repeated_windows(ts, ahead, size)
+        lens = np.array([len(t) for t in ts])
+        flat = np.frombuffer(b"".join(ts), np.uint8)
+        firsts = suffix_dedup.repeats_of(flat, np.cumsum(lens) - lens, lens, ahead, size)
+        found = [(int(w), int(k) + j) for w, k, n in zip(*firsts[:3]) for j in range(n)]  # noqa: B905
         want = sorted(
             (i, k) for i, t in enumerate(ts) for k in range(len(t) - size + 1)
             if any(k - ahead[i] + ahead[j] >= 0 and ts[j][k - ahead[i] + ahead[j] :][:size] == t[k : k + size] for j in range(i))
         )
-        assert sorted(zip(who.tolist(), at.tolist())) == want  # noqa: B905
+        assert sorted(found) == want
+        assert [k for k, w in enumerate(firsts[3]) if w] == [k for k, t in enumerate(ts) if len([w for w in want if w[0] == k]) == len(t) - size + 1]
 
 
-def _near(texts):
+def _near(texts, width=4):
     """(n, component, kept) by comparing all pairs."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     root = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
