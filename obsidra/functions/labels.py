@@ -90,31 +90,74 @@ def json_path(path: str) -> str:
     return out
 
 
-def json_labels(line: Column, depth: int = 3) -> Column:
-    """All scalars of a JSON object as labels, nested keys joined by an underscore, down to ``depth`` levels."""
-
-    def level(text: Column, prefix: Column | None, left: int) -> Column:
-        parsed = F.from_json(text, "map<string,string>")
-        name = lambda k: sanitized(k) if prefix is None else F.concat(prefix, F.lit("_"), sanitized(k))
-        pairs = F.filter(F.map_entries(parsed), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-        flat = F.filter(pairs, lambda e: ~e["value"].rlike(r"^[\[{]"))
-        own = F.transform(flat, lambda e: F.struct(name(e["key"]).alias("key"), e["value"].alias("value")))
-        if left <= 1:
-            return own
-        nested = F.filter(pairs, lambda e: e["value"].startswith("{"))
-        below = F.flatten(F.transform(nested, lambda e: F.coalesce(level(e["value"], name(e["key"]), left - 1), empty)))
-        return F.concat(own, below)
-
-    empty = F.expr("cast(array() as array<struct<key:string,value:string>>)")
-    found = F.coalesce(level(line, None, depth), empty)
-    good = line.rlike(r"^\s*\{") & F.from_json(line, "map<string,string>").isNotNull()
-    last_wins = F.map_from_entries(F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["key"] == e["key"])))
-    failed = F.create_map(F.lit(ERROR), F.lit("JSONParserErr"), F.lit(DETAILS), F.lit("the line is not a JSON object"))
-    # Most lines are flat objects with plain keys: one map does for them, and the rest is only worked out for others.
+def pair(key: Column, value: Column) -> Column:
+    """A (key, value) struct; names given by aliases get lost in nested lambdas."""
+    return F.named_struct(F.lit("key"), key, F.lit("value"), value)
+
+
+def last_wins(pairs: Column) -> Column:
+    """A map of (key, value) structs; of those with one key the last counts."""
+    later = lambda e, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(pairs, lambda e, i: ~later(e, i)))
+
+
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
+_JSON_STATE = "struct<path:array<string>,key:string,last:string,want:boolean,skip:int,out:array<struct<key:string,value:string>>>"
+
+
+def _json_pairs(line: Column) -> Column:
+    """(key, value) of all scalars of a JSON object at any depth, by one pass over its tokens. State: the keys of the
+    objects at hand, the key before a colon, the last string, whether a value comes next, how many arrays deep."""
+    start = F.expr(f"cast(named_struct('path', array(), 'key', '', 'last', '', 'want', false, 'skip', 0, 'out', array()) as {_JSON_STATE})")
+    tokens = F.regexp_extract_all(line, F.lit(_JSON_TOKEN), F.lit(0))
+
+    def next_(s: Column, t: Column) -> Column:
+        opens, closes, inside = t.isin("{", "["), t.isin("}", "]"), s["skip"] > 0
+        name = F.array_join(F.filter(F.concat(s["path"], F.array(s["key"])), lambda k: k != ""), "_")
+        bare = sanitized(F.regexp_replace(s["last"], '^"|"$', ""))
+        scalar = ~opens & ~closes & ~t.isin(":", ",")
+        kept = ~inside & scalar & s["want"] & ~t.isin("null", '""')
+        own = F.array(F.struct(name.alias("key"), t.alias("value")))
+        return F.struct(
+            F.when(inside, s["path"]).when(t == "{", F.concat(s["path"], F.array(s["key"]))).when(t == "}", F.slice(s["path"], 1, F.greatest(F.size(s["path"]) - 1, F.lit(0)))).otherwise(s["path"]).alias("path"),
+            F.when(inside, s["key"]).when(t == ":", bare).when(opens | closes, F.lit("")).otherwise(s["key"]).alias("key"),
+            F.when(~inside & scalar, t).otherwise(s["last"]).alias("last"),
+            F.when(inside, F.lit(False)).otherwise(t == ":").alias("want"),
+            (s["skip"] + F.when(opens & (inside | (t == "[")), 1).when(closes & inside, -1).otherwise(0)).alias("skip"),
+            F.when(kept, F.concat(s["out"], own)).otherwise(s["out"]).alias("out"),
+        ).cast(_JSON_STATE)
+
+    found = F.aggregate(tokens, start, next_)["out"]
+    text = lambda v: F.when(v.startswith('"'), F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>")[0]).otherwise(v)
+    return F.transform(found, lambda e: F.struct(e["key"].alias("key"), F.coalesce(text(e["value"]), F.lit("")).alias("value")))
+
+
+def json_labels(line: Column) -> Column:
+    """All scalars of a JSON object as labels, nested keys joined by an underscore; of equal keys the last counts."""
     parsed = F.from_json(line, "map<string,string>")
-    flat = line.rlike(r"^\s*\{[^{]*$") & ~line.rlike(r'"[^"]*[^a-zA-Z0-9_"][^"]*"\s*:') & parsed.isNotNull()
+    good = line.rlike(r"^\s*\{") & parsed.isNotNull()
+    failed = F.create_map(F.lit(ERROR), F.lit("JSONParserErr"), F.lit(DETAILS), F.lit("the line is not a JSON object"))
+    # Most lines are flat objects with plain keys: one map does for them, and the tokens are only walked for others.
+    keys = F.map_keys(parsed)
+    flat = _flat(line) & (F.size(F.array_distinct(keys)) == F.size(keys))
     own = F.map_filter(parsed, lambda _, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]"))
-    return F.when(F.coalesce(flat, F.lit(False)), own).when(F.coalesce(good, F.lit(False)), last_wins).otherwise(failed)
+    return F.when(F.coalesce(flat, F.lit(False)), own).when(F.coalesce(good, F.lit(False)), last_wins(_json_pairs(line))).otherwise(failed)
+
+
+def json_some(line: Column, names: tuple[str, ...]) -> Column:
+    """json_labels() cut down to ``names``, by one parse of just these fields. A name with an underscore may also stand
+    for a nested or an odd key: then that holds for flat lines with plain keys, and others are read whole."""
+    parsed = F.from_json(line, ", ".join(f"`{n}` string" for n in names))
+    made = F.create_map(*[x for n in names for x in (F.lit(n), parsed[n])])
+    own = F.map_filter(made, lambda _, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]"))
+    if not any("_" in n for n in names):
+        return own
+    whole = F.map_filter(json_labels(line), lambda k, _: k.isin(*names))
+    return F.when(F.coalesce(_flat(line), F.lit(False)), own).otherwise(whole)
+
+
+def _flat(line: Column) -> Column:
+    return line.rlike(r"^\s*\{[^{]*$") & ~line.rlike(r'"[^"]*[^a-zA-Z0-9_"][^"]*"\s*:')
 
 
 def json_labels_at(line: Column, fields: tuple[tuple[str, str], ...]) -> Column:
@@ -129,7 +172,7 @@ def logfmt_labels(line: Column, fields: tuple[tuple[str, str], ...] = ()) -> Col
     values = F.transform(F.regexp_extract_all(line, F.lit(LOGFMT), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r'\\(["\\])', "$1"))
     pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
     pairs = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    last = F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"])))
+    last = last_wins(pairs)
     if not fields:
         return last
     return F.map_filter(F.create_map(*[x for name, key in fields for x in (F.lit(name), last[key])]), lambda _, v: v.isNotNull())

@@ -42,6 +42,16 @@ def _fold(op: Callable[[Column, Column], Column], cast: Callable[[Column], Colum
     return run
 
 
+def _replace(s: Column, old: Column, new: Column, n: Column) -> Column:
+    """The first ``n`` places where ``old`` stands, all of them if n is negative: the text is cut there once more than n
+    times and put together again."""
+    parts = F.split(s, _quote(old), -1)
+    some = F.least(n, F.size(parts) - 1).cast("int")
+    head = F.call_function("array_join", F.slice(parts, F.lit(1), some + 1), new)
+    tail = F.transform(F.slice(parts, some + 2, F.greatest(F.size(parts) - some - 1, F.lit(0))), lambda x: F.concat(old, x))
+    return F.when((n < 0) | (old == ""), F.replace(s, old, new)).otherwise(F.concat(head, F.array_join(tail, "")))
+
+
 def _quote(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
 
@@ -67,7 +77,7 @@ _TRUE = lambda x: (x != "") & (x != "false") & (x != "0")
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "ToLower": F.lower, "lower": F.lower, "ToUpper": F.upper, "upper": F.upper, "title": F.initcap,
-    "Replace": lambda s, old, new, n: F.when(_long(n) < 0, F.replace(s, old, new)).when(_long(n) == 1, F.regexp_replace(s, F.concat(F.lit("(?s)^(.*?)"), _quote(old)), F.concat(F.lit("$1"), new))).otherwise(F.replace(s, old, new)),
+    "Replace": lambda s, old, new, n: _replace(s, old, new, _long(n)),
     "replace": lambda old, new, s: F.replace(s, old, new),
     "Trim": lambda s, c: _strip(c, s), "TrimLeft": lambda s, c: _strip(c, s, right=False), "TrimRight": lambda s, c: _strip(c, s, left=False), "trimAll": _strip,
     "TrimSpace": lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""), "trim": lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""),
@@ -89,17 +99,24 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "eq": lambda a, b: _text(a == b), "ne": lambda a, b: _text(a != b), "not": lambda a: _text(~_TRUE(a)),
     "and": lambda *a: _pick(a, lambda x: ~_TRUE(x)), "or": lambda *a: _pick(a, _TRUE),
     "now": lambda: _text(F.current_timestamp()), "unixEpoch": lambda t: _text(F.unix_timestamp(t.try_cast("timestamp"))),
-    "toDate": lambda layout, s: _text(F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))), "toDateInZone": lambda layout, zone, s: _text(F.to_utc_timestamp(F.try_to_timestamp(s), zone)),
-    "duration": lambda s: _text(_seconds(s)), "duration_seconds": lambda s: _text(_seconds(s)), "fromJson": lambda s: s,
+    "toDate": lambda layout, s: _text(F.try_to_timestamp(s, F.lit(layout))), "toDateInZone": lambda layout, zone, s: _text(F.to_utc_timestamp(F.try_to_timestamp(s, F.lit(layout)), zone)),
+    "duration": lambda s: _text(_seconds(s)), "duration_seconds": lambda s: _text(_seconds(s)), "fromJson": lambda s: F.coalesce(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")[0], F.lit("")),
 }
 
+DATED = ("date", "toDate", "toDateInZone")  # their first argument is a layout
+
 # Parts of the reference date in layouts, and what they stand for.
-LAYOUT = {"2006": "yyyy", "01": "MM", "02": "dd", "15": "HH", "04": "mm", "05": "ss", "Jan": "MMM", "January": "MMMM", "Mon": "EEE", "MST": "z"}
+LAYOUT = {"Z07:00": "XXX", ".000": ".SSS", "2006": "yyyy", "01": "MM", "02": "dd", "15": "HH", "04": "mm", "05": "ss", "Jan": "MMM", "January": "MMMM", "Mon": "EEE", "MST": "z"}
+
+
+def _pattern(layout: str) -> str:
+    """A layout written with the reference date as a date pattern; letters that are no part of it stand for themselves."""
+    parts = re.split("(" + "|".join(sorted(LAYOUT, key=len, reverse=True)) + ")", layout)
+    return "".join(LAYOUT[x] if x in LAYOUT else re.sub("[A-Za-z]+", lambda m: f"'{m[0]}'", x) for x in parts)
 
 
 def _date(layout: str, moment: Column) -> Column:
-    pattern = re.sub("|".join(sorted(LAYOUT, key=len, reverse=True)), lambda m: LAYOUT[m[0]], layout)
-    return F.date_format(moment, pattern)
+    return F.date_format(moment, _pattern(layout))
 
 
 def _seconds(s: Column) -> Column:
@@ -167,8 +184,9 @@ def _command(words: list[str], piped: Column | None, labels: Column, line: Colum
                 raise QueryError("missing ) in the template")
             rest = rest[1:]
         else:
-            if name == "date" and layout is None:
-                layout = rest[0][1:-1]
+            if name in DATED and layout is None:
+                layout, rest = rest[0][1:-1], rest[1:]
+                continue
             value, rest = _operand(rest[0], labels, line, stamp), rest[1:]
         args.append(value)
         if name is None:
@@ -177,6 +195,8 @@ def _command(words: list[str], piped: Column | None, labels: Column, line: Colum
         args.append(piped)
     if name == "date":
         return _date(layout or "2006-01-02", args[-1].try_cast("timestamp")), rest
+    if name in DATED:
+        args = [_pattern(layout or "2006-01-02"), *args]
     return (FUNCTIONS[name](*args) if name else args[0]), rest
 
 

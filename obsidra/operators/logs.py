@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from obsidra.functions import labels as L
 from obsidra.functions.templates import compiled
 from obsidra.plans import logql as Q
+from obsidra.plans import plugins
 from obsidra.plans.lexing import QueryError
-from obsidra.plans.model import canonical
+from obsidra.plans.model import Timed, canonical
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class Options:
     to_ns: int | None = None
     step_ns: int | None = None
     limit: int = 0
+    ordered: bool = False  # by label set and time, in the query's direction
+    approximate: bool = False  # quantiles without a buffer of all values
     forward: bool = False
     sliding: bool = False
     zeros: bool = False  # keep samples of value 0
@@ -31,17 +34,23 @@ class Options:
 
 def query(entries: DataFrame, text: str, options: Options | None = None) -> DataFrame:
     """Runs a query over entries (timestamp_ns, labels, string, value)."""
-    options, tree = options or Options(), Q.parse(text)
+    options = options or Options()
+    if (own := plugins.planned("log_query", entries, text, options)) is not None:
+        return own
+    tree = Q.parse(text)
     if isinstance(tree, Q.Selection):
         found = selected(entries, tree, options)
         if options.limit:
             order = F.asc if options.forward else F.desc
             found = found.orderBy(order("timestamp_ns"), canonical(F.col("labels")), "string").limit(options.limit)
+        if options.ordered:
+            found = found.orderBy(canonical(F.col("labels")), (F.asc if options.forward else F.desc)("timestamp_ns"), "string")
         return found
     found = metric(entries, tree, options)
     if not isinstance(found, DataFrame):
         raise QueryError("the query is a number")
-    return found if options.zeros else found.where("value <> 0")
+    found = found if options.zeros else found.where("value <> 0")
+    return found.orderBy(canonical(F.col("labels")), "bucket_ns") if options.ordered else found
 
 
 def instant(entries: DataFrame, text: str, at_ns: int, lookback_ns: int = 300 * 10**9) -> DataFrame:
@@ -50,7 +59,10 @@ def instant(entries: DataFrame, text: str, at_ns: int, lookback_ns: int = 300 *
     return found.groupBy("labels").agg(F.max_by("value", "bucket_ns").alias("value"))
 
 
-def _bounded(entries: DataFrame, options: Options, offset: int = 0) -> DataFrame:
+def _bounded(entries: DataFrame | Timed, options: Options, offset: int = 0) -> DataFrame:
+    if isinstance(entries, Timed):
+        low, high = (None if x is None else x - offset for x in (options.from_ns, options.to_ns))
+        entries = entries.between(low, high)
     if options.from_ns is not None:
         entries = entries.where(F.col("timestamp_ns") >= options.from_ns - offset)
     if options.to_ns is not None:
@@ -58,18 +70,42 @@ def _bounded(entries: DataFrame, options: Options, offset: int = 0) -> DataFrame
     return entries
 
 
-def selected(entries: DataFrame, tree: Q.Selection, options: Options, offset: int = 0) -> DataFrame:
-    """Entries of the streams that match, through the pipeline's stages in order."""
+def selected(entries: DataFrame | Timed, tree: Q.Selection, options: Options, offset: int = 0, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """Entries of the streams that match, through the pipeline's stages in order. ``labels`` names those that are wanted
+    of the result, if not all are; JSON is then only read for them."""
     df = _bounded(entries, options, offset)
     for m in tree.matchers:
         test = L.matched(F.col("labels"), m.name, m.op, m.value)
         if test is not None:
             df = df.where(test)
-    for stage in tree.stages:
-        df = _staged(df, stage)
+    for k, stage in enumerate(tree.stages):
+        needed = None if labels is None else _needed(tree.stages[k + 1 :], labels)
+        if isinstance(stage, Q.Stage) and stage.kind == "json" and not stage.args and needed is not None:
+            df = df.withColumn("labels", L.updated(F.col("labels"), L.json_some(F.col("string"), needed))) if needed else df
+        else:
+            df = _staged(df, stage)
     return df
 
 
+def _needed(stages: tuple, labels: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The labels that these stages and the result read; None unless that is certain, and the names are plain enough."""
+    names = set(labels)
+    for stage in stages:
+        if isinstance(stage, Q.LineFilter):
+            continue
+        if stage.kind == "filter":
+            names |= _tested(stage.args[0])
+        elif stage.kind == "unwrap" and stage.args[0] != "_entry":
+            names.add(stage.args[0])
+        elif stage.kind != "unwrap":
+            return None
+    return None if any(n.startswith("__") for n in names) else tuple(sorted(names))
+
+
+def _tested(tree: object) -> set[str]:
+    return _tested(tree.left) | _tested(tree.right) if isinstance(tree, Q.Both) else {tree.name}
+
+
 def _test(labels: Column, tree: object) -> Column:
     if isinstance(tree, Q.Both):
         a, b = _test(labels, tree.left), _test(labels, tree.right)
@@ -135,7 +171,7 @@ def _aggregate(df: DataFrame, grouping: tuple[str, tuple[str, ...]] | None, keep
     return found.select(made.alias("labels"), *keys, "value")
 
 
-def _range_value(fn: str, unwrapped: bool, seconds: float, param: float | None) -> Column:
+def _range_value(fn: str, unwrapped: bool, seconds: float, param: float | None, approximate: bool = False) -> Column:
     value, moment = F.col("value"), F.struct("timestamp_ns", "string")
     n, size = F.count(F.lit(1)).cast("double"), F.sum(F.octet_length("string")).cast("double")
     if fn == "rate":
@@ -143,12 +179,13 @@ def _range_value(fn: str, unwrapped: bool, seconds: float, param: float | None)
     return {
         "count_over_time": n, "bytes_rate": size / seconds, "bytes_over_time": size, "sum_over_time": F.sum(value), "avg_over_time": F.avg(value),
         "max_over_time": F.max(value), "min_over_time": F.min(value), "first_over_time": F.min_by(value, moment), "last_over_time": F.max_by(value, moment),
-        "stddev_over_time": F.stddev_pop(value), "stdvar_over_time": F.var_pop(value), "quantile_over_time": F.percentile(value, F.lit(param or 0.0)),
+        "stddev_over_time": F.stddev_pop(value), "stdvar_over_time": F.var_pop(value), "quantile_over_time": F.percentile_approx(value, param or 0.0, 10_000) if approximate else F.percentile(value, F.lit(param or 0.0)),
     }[fn]
 
 
 def range_agg(entries: DataFrame, tree: Q.RangeAgg, options: Options) -> DataFrame:
-    df = selected(entries, tree.inner, options, tree.offset_ns)
+    names = tree.grouping[1] if tree.grouping and tree.grouping[0] == "by" else None
+    df = selected(entries, tree.inner, options, tree.offset_ns, names)
     if tree.offset_ns:
         df = df.withColumn("timestamp_ns", F.col("timestamp_ns") + tree.offset_ns)
     size = tree.range_ns
@@ -162,7 +199,7 @@ def range_agg(entries: DataFrame, tree: Q.RangeAgg, options: Options) -> DataFra
     else:
         df = df.withColumn("bucket_ns", F.expr(f"timestamp_ns div {size} * {size}"))
     unwrapped = any(isinstance(s, Q.Stage) and s.kind == "unwrap" for s in tree.inner.stages)
-    value = _range_value(tree.fn, unwrapped, size / 1e9, tree.param)
+    value = _range_value(tree.fn, unwrapped, size / 1e9, tree.param, options.approximate)
     return _aggregate(df, tree.grouping, tree.grouping is None, ["bucket_ns"], value)
 
 

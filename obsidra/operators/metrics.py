@@ -2,23 +2,26 @@
 
 A vector is a DataFrame (labels, ts_ms, val) with a row per series and step; a scalar has labels null-free and empty.
 Instant values are put on the grid by a lead over each series and a sequence of the steps that a point is the last for;
-range functions deal each point to the steps whose range holds it and aggregate. rate and its kin take the last point up
+mergeable range functions go by cells and blocks (see ``frames``), the others deal each point to the steps whose range
+holds it. rate and its kin take the last point up
 to five minutes before the range as their start, else the first inside, and don't extrapolate unless asked to.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsidra.functions.labels import matched, updated
+from obsidra.operators.frames import sliding
 from obsidra.operators.logs import grouped
+from obsidra.plans import plugins
 from obsidra.plans import promql as Q
 from obsidra.plans.lexing import QueryError
-from obsidra.plans.model import canonical
+from obsidra.plans.model import Timed, canonical
 
 LOOKBACK_MS = 300_000
 EMPTY = "cast(map() as map<string,string>)"
@@ -31,6 +34,7 @@ class Grid:
     step: int
     extrapolate: bool = False
     lookback: int = LOOKBACK_MS
+    outer: tuple[int, int] | None = None  # start and end of the whole query
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.start, self.end + 1, self.step).select(F.col("id").alias("ts_ms"))
@@ -46,7 +50,9 @@ class Scalar:
 
 def query_range(points: DataFrame, text: str, start_ms: int, end_ms: int, step_ms: int, extrapolate: bool = False, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """(labels, ts_ms, val) at each step from start to end."""
-    grid = Grid(start_ms, end_ms, step_ms, extrapolate, lookback_ms)
+    if (own := plugins.planned("metric_query", points, text, (start_ms, end_ms, step_ms))) is not None:
+        return own
+    grid = Grid(start_ms, end_ms, step_ms, extrapolate, lookback_ms, (start_ms, end_ms))
     found = evaluate(points, Q.parse(text), grid)
     return _as_vector(found, points.sparkSession, grid) if isinstance(found, Scalar) else found
 
@@ -60,7 +66,47 @@ def _as_vector(s: Scalar, spark: SparkSession, grid: Grid) -> DataFrame:
     return base.select(F.expr(EMPTY).alias("labels"), "ts_ms", "val")
 
 
-def _select(points: DataFrame, sel: Q.Selector, low: int, high: int) -> DataFrame:
+def from_rollup(rolled: DataFrame) -> DataFrame:
+    """Points of a rollup (see ``streaming.rollup``): the last value of each step at its time, and the step's count, sum,
+    least and greatest, from which functions over time are made. A query's step and ranges should be whole rollup steps."""
+    return rolled.select(
+        "labels", F.expr("last_ts div 1000000").alias("ts_ms"), F.col("last").alias("val"), F.col("sum").alias("roll_sum"), F.col("count").alias("roll_count"),
+        F.col("min").alias("roll_min"), F.col("max").alias("roll_max"),
+    )
+
+
+def suits_rollup(text: str, start_ms: int, step_ms: int, rollup_ms: int = 15_000) -> bool:
+    """Whether a query can be answered from the rollup: whole steps, ranges and offsets, and only functions that it has."""
+
+    def fits(node: object) -> bool:
+        if isinstance(node, Q.Call):
+            if node.fn in RANGE_FUNCTIONS + ("quantile_over_time", "predict_linear") and node.fn not in ROLLED:
+                return False
+            return all(fits(a) for a in node.args)
+        if isinstance(node, Q.Selector | Q.Subquery):
+            whole = (node.range_ms or 0) % rollup_ms == 0 and node.offset_ms % rollup_ms == 0
+            return whole and (isinstance(node, Q.Selector) or fits(node.inner))
+        return all(fits(x) for name in ("left", "right", "inner", "param") if (x := getattr(node, name, None)) is not None)
+
+    return start_ms % rollup_ms == 0 and (step_ms % rollup_ms == 0) and fits(Q.parse(text))
+
+
+def query_any(points: DataFrame | Timed, rolled: DataFrame | None, text: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
+    """query_range() from the rollup where that suits, else from the points."""
+    use = rolled is not None and suits_rollup(text, start_ms, step_ms)
+    return query_range(from_rollup(rolled) if use else points, text, start_ms, end_ms, step_ms)
+
+
+def thinned(points: DataFrame, step_ms: int, range_ms: int) -> DataFrame:
+    """Only the points that ranges ending at whole steps can hold, where steps are longer than ranges."""
+    if step_ms <= range_ms:
+        return points
+    return points.where((F.pmod("ts_ms", F.lit(step_ms)) == 0) | (F.pmod("ts_ms", F.lit(step_ms)) > step_ms - range_ms))
+
+
+def _select(points: DataFrame | Timed, sel: Q.Selector, low: int, high: int) -> DataFrame:
+    if isinstance(points, Timed):
+        points = points.between(low * 10**6, (high + 1) * 10**6)
     df = points.where((F.col("ts_ms") > low) & (F.col("ts_ms") <= high))
     for m in sel.matchers:
         test = matched(F.col("labels"), m.name, m.op, m.value, anchored=True, absent_matches=True)
@@ -72,8 +118,14 @@ def _select(points: DataFrame, sel: Q.Selector, low: int, high: int) -> DataFram
 def _shift(node: Q.Selector | Q.Subquery, grid: Grid) -> Grid:
     """The steps that are really read: moved by the offset, or all at one time."""
     if node.at_ms is not None:
-        return Grid(node.at_ms - node.offset_ms, node.at_ms - node.offset_ms, 1, grid.extrapolate, grid.lookback)
-    return Grid(grid.start - node.offset_ms, grid.end - node.offset_ms, grid.step, grid.extrapolate, grid.lookback)
+        at = _moment(node, grid) - node.offset_ms
+        return Grid(at, at, 1, grid.extrapolate, grid.lookback, grid.outer)
+    return Grid(grid.start - node.offset_ms, grid.end - node.offset_ms, grid.step, grid.extrapolate, grid.lookback, grid.outer)
+
+
+def _moment(node: Q.Selector | Q.Subquery, grid: Grid) -> int:
+    low, high = grid.outer or (grid.start, grid.end)
+    return {"start": low, "end": high}.get(node.at_ms, node.at_ms)
 
 
 def _unshift(df: DataFrame, node: Q.Selector | Q.Subquery, grid: Grid) -> DataFrame:
@@ -90,7 +142,7 @@ def instant(points: DataFrame, sel: Q.Selector, grid: Grid) -> DataFrame:
     """The last value of each series in (t - lookback, t] at each step t."""
     on = _shift(sel, grid)
     df = _select(points, sel, on.start - on.lookback, on.end)
-    after = F.lead("ts_ms").over(Window.partitionBy(canonical(F.col("labels"))).orderBy("ts_ms"))
+    after = F.lead("ts_ms").over(Window.partitionBy(F.xxhash64(canonical(F.col("labels")))).orderBy("ts_ms"))
     first = _step_at_or_after(F.col("ts_ms"), on)
     last = F.least(F.coalesce(F.col("after"), F.lit(1 << 62)), F.col("ts_ms") + on.lookback) - 1
     df = df.withColumn("after", after).withColumns({"first": first, "last": F.least(last, F.lit(on.end))}).where("first <= last")
@@ -98,77 +150,100 @@ def instant(points: DataFrame, sel: Q.Selector, grid: Grid) -> DataFrame:
     return _unshift(df.select("labels", F.col("at").alias("ts_ms"), "val"), sel, grid)
 
 
-def _dealt(points: DataFrame, node: Q.Selector | Q.Subquery, grid: Grid, before_ms: int = 0) -> tuple[DataFrame, Grid]:
-    """Points with each step t (``at``) whose range (t - range, t] holds them, and with their predecessor in the series."""
+def _inside(points: DataFrame, node: Q.Selector | Q.Subquery, grid: Grid, before_ms: int = 0) -> tuple[DataFrame, Grid]:
+    """Points that some step's range (t - range, t] may hold, each with its predecessor in the series."""
     on = _shift(node, grid)
     if isinstance(node, Q.Subquery):
         step = node.step_ms or 60_000
         low = -(-(on.start - node.range_ms - before_ms + 1) // step) * step
-        df = _vector(points, node.inner, Grid(low, on.end, step, grid.extrapolate, grid.lookback))
+        df = _vector(points, node.inner, Grid(low, on.end, step, grid.extrapolate, grid.lookback, grid.outer or (grid.start, grid.end)))
     else:
         df = _select(points, node, on.start - node.range_ms - before_ms, on.end)
+    df = df.withColumn("series", F.xxhash64(canonical(F.col("labels"))))
     if before_ms:
-        order = Window.partitionBy(canonical(F.col("labels"))).orderBy("ts_ms")
+        order = Window.partitionBy("series").orderBy("ts_ms")
         df = df.withColumns({"prev": F.lag("val").over(order), "prev_ts": F.lag("ts_ms").over(order)})
+    return df, on
+
+
+def _dealt(df: DataFrame, node: Q.Selector | Q.Subquery, on: Grid) -> DataFrame:
+    """Points with each step t (``at``) whose range holds them."""
     first = _step_at_or_after(F.col("ts_ms"), on)
     df = df.withColumns({"first": first, "last": F.least(F.col("ts_ms") + node.range_ms - 1, F.lit(on.end))}).where("first <= last")
-    return df.withColumn("at", F.explode(F.sequence("first", "last", F.lit(on.step)))), on
+    return df.withColumn("at", F.explode(F.sequence("first", "last", F.lit(on.step))))
 
 
 def _bare(labels: Column) -> Column:
     return F.map_filter(labels, lambda k, _: k != "__name__")
 
 
-def range_function(points: DataFrame, fn: str, node: Q.Selector | Q.Subquery, grid: Grid, param: float | None = None) -> DataFrame:
+def _mergeable(fn: str, rolled: bool) -> tuple[dict, Column] | None:
+    """The parts (see ``frames``) of a function over time, and its value from them. Rolled-up points bring their own."""
+    val, moment = F.col("val"), F.struct("ts_ms", "val")
+    own = lambda name, plain: F.col(name) if rolled else plain
+    total, n = (F.sum(own("roll_sum", val)), F.sum), (F.sum(own("roll_count", F.when(val.isNotNull(), 1).otherwise(0))), F.sum)
+    return {
+        "sum_over_time": ({"s": total}, F.col("s")), "count_over_time": ({"n": n}, F.col("n").cast("double")), "avg_over_time": ({"s": total, "n": n}, F.col("s") / F.col("n")),
+        "min_over_time": ({"v": (F.min(own("roll_min", val)), F.min)}, F.col("v")), "max_over_time": ({"v": (F.max(own("roll_max", val)), F.max)}, F.col("v")),
+        "last_over_time": ({"m": (F.max(moment), F.max)}, F.col("m.val")), "first_over_time": ({"m": (F.min(moment), F.min)}, F.col("m.val")), "present_over_time": ({"n": n}, F.lit(1.0)),
+    }.get(fn)
+
+
+def _counted(df: DataFrame, fn: str, node: Q.Selector | Q.Subquery, grid: Grid, on: Grid) -> DataFrame:
+    """rate and its kin. What was lost in resets is summed over all points but the first of each window, whose
+    predecessor lies before it."""
+    val = F.col("val")
+    fell, moved = F.coalesce(F.col("prev") > val, F.lit(False)), ~F.coalesce(F.col("prev").eqNullSafe(val), F.lit(False)) & F.col("prev").isNotNull()
+    df = df.withColumns({"fell": F.when(fell, F.col("prev")).otherwise(0.0), "reset": fell.cast("long"), "moved": moved.cast("long")})
+    point = F.struct("ts_ms", "val", "prev", "prev_ts", "fell", "reset", "moved")
+    parts = {"first": (F.min(point), F.min), "last": (F.max(point), F.max), "n": (F.count(val), F.sum)}
+    parts |= {name: (F.sum(name), F.sum) for name in ("fell", "reset", "moved")}
+    out = sliding(df, parts, start=on.start, end=on.end, step=on.step, size=node.range_ms)
+    first, last = F.col("first"), F.col("last")
+    if fn in ("resets", "changes"):
+        name = "reset" if fn == "resets" else "moved"
+        return out.select("labels", "at", (F.col(name) - first[name]).cast("double").alias("val"))
+    if fn in ("irate", "idelta"):
+        rise = last["val"] - last["prev"]
+        value = rise if fn == "idelta" else F.when(rise < 0, last["val"]).otherwise(rise) / ((last["ts_ms"] - last["prev_ts"]) / 1000)
+        return out.where("n >= 2").select("labels", "at", value.alias("val"))
+    early = F.coalesce(first["prev_ts"] > F.col("at") - node.range_ms - LOOKBACK_MS, F.lit(False)) & F.lit(not grid.extrapolate)
+    lost = F.lit(0.0) if fn == "delta" else F.col("fell") - first["fell"] + F.when(early & (first["prev"] > first["val"]), first["prev"]).otherwise(0.0)
+    value = last["val"] - F.when(early, first["prev"]).otherwise(first["val"]) + lost
+    if grid.extrapolate:
+        value = value * _stretch(node.range_ms, fn, value)
+    value = value / (node.range_ms / 1000) if fn == "rate" else value
+    return out.where(early | (F.col("n") >= 2)).select("labels", "at", value.alias("val"))
+
+
+def range_function(points: DataFrame, fn: str, node: Q.Selector | Q.Subquery, grid: Grid, param: float | None = None, approximate: bool = False) -> DataFrame:
     val, ts = F.col("val"), F.col("ts_ms")
-    seconds = node.range_ms / 1000
     counters = ("rate", "increase", "delta", "resets", "changes", "irate", "idelta")
-    df, on = _dealt(points, node, grid, LOOKBACK_MS if fn in counters else 0)
-    n = F.count(val)
+    df, on = _inside(points, node, grid, LOOKBACK_MS if fn in counters else 0)
     if fn in counters:
-        inside = F.col("prev_ts") > F.col("at") - node.range_ms  # the predecessor is in the range as well
-        fell, moved = F.col("prev") > val, ~F.coalesce(F.col("prev").eqNullSafe(val), F.lit(False)) & F.col("prev").isNotNull()
-        out = df.groupBy("labels", "at").agg(
-            F.min_by(val, ts).alias("first"), F.max_by(val, ts).alias("last"), n.alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
-            F.min_by("prev", ts).alias("prev"), F.min_by("prev_ts", ts).alias("prev_ts"),
-            F.coalesce(F.sum(F.when(fell & inside, F.col("prev"))), F.lit(0.0)).alias("lost"), F.count_if(fell & inside).alias("resets"), F.count_if(moved & inside).alias("changes"),
-            F.max_by("prev", ts).alias("last_but_one"), F.max_by("prev_ts", ts).alias("last_but_one_ts"),
-        )
-        if fn in ("resets", "changes"):
-            value = F.col(fn).cast("double")
-        elif fn in ("irate", "idelta"):
-            out = out.where("n >= 2")
-            rise = F.col("last") - F.col("last_but_one")
-            value = rise if fn == "idelta" else F.when(rise < 0, F.col("last")).otherwise(rise) / ((F.col("last_ts") - F.col("last_but_one_ts")) / 1000)
-        else:
-            early = F.coalesce(F.col("prev_ts") > F.col("at") - node.range_ms - LOOKBACK_MS, F.lit(False)) & F.lit(not grid.extrapolate)
-            out = out.where(early | (F.col("n") >= 2))
-            lost = F.lit(0.0) if fn == "delta" else F.col("lost") + F.when(early & (F.col("prev") > F.col("first")), F.col("prev")).otherwise(0.0)
-            value = F.col("last") - F.when(early, F.col("prev")).otherwise(F.col("first")) + lost
-            if grid.extrapolate:
-                value = value * _stretch(node.range_ms, fn, value)
-            value = value / seconds if fn == "rate" else value
-        out = out.select("labels", "at", value.alias("val"))
+        out = _counted(df, fn, node, grid, on)
+    elif (found := _mergeable(fn, "roll_sum" in df.columns)) is not None:
+        parts, value = found
+        out = sliding(df, parts, start=on.start, end=on.end, step=on.step, size=node.range_ms).select("labels", "at", value.alias("val"))
     elif fn in ("deriv", "predict_linear"):
         x = (ts - F.col("at")) / 1000
         slope = F.regr_slope(val, x)
         value = slope if fn == "deriv" else F.regr_intercept(val, x) + slope * (param or 0.0)
-        out = df.groupBy("labels", "at").agg(value.alias("val"), n.alias("n")).where("n >= 2").select("labels", "at", "val")
+        out = _dealt(df, node, on).groupBy("labels", "at").agg(value.alias("val"), F.count(val).alias("n")).where("n >= 2").select("labels", "at", "val")
     else:
-        values = {
-            "sum_over_time": F.sum(val), "count_over_time": n.cast("double"), "avg_over_time": F.avg(val), "min_over_time": F.min(val), "max_over_time": F.max(val),
-            "last_over_time": F.max_by(val, ts), "first_over_time": F.min_by(val, ts), "present_over_time": F.lit(1.0), "stddev_over_time": F.stddev_pop(val),
-            "stdvar_over_time": F.var_pop(val), "quantile_over_time": F.percentile(val, F.lit(min(max(param or 0.0, 0.0), 1.0))),
-            "mad_over_time": F.percentile(val, F.lit(0.5)),
-        }
+        q = min(max(param or 0.0, 0.0), 1.0)
+        middle = F.percentile_approx(val, q, 10_000) if approximate else F.percentile(val, F.lit(q))
+        values = {"stddev_over_time": F.stddev_pop(val), "stdvar_over_time": F.var_pop(val), "quantile_over_time": middle, "mad_over_time": F.percentile(val, F.lit(0.5))}
         if fn not in values:
             raise QueryError(f"unknown range function {fn}")
-        out = df.groupBy("labels", "at").agg(values[fn].alias("val"))
+        df = _dealt(df, node, on)
         if fn == "mad_over_time":
-            out = df.groupBy("labels", "at").agg(F.collect_list("val").alias("all"), F.percentile(val, F.lit(0.5)).alias("mid"))
+            out = df.groupBy("labels", "at").agg(F.collect_list("val").alias("all"), values[fn].alias("mid"))
             out = out.withColumn("d", F.array_sort(F.transform("all", lambda x: F.abs(x - F.col("mid")))))
             k = F.size("d")
             out = out.select("labels", "at", ((F.element_at("d", ((k + 1) / 2).cast("int")) + F.element_at("d", (k / 2 + 1).cast("int"))) / 2).alias("val"))
+        else:
+            out = df.groupBy("labels", "at").agg(values[fn].alias("val"))
     keep_name = fn in ("last_over_time", "first_over_time")
     out = out.select((F.col("labels") if keep_name else _bare(F.col("labels"))).alias("labels"), F.col("at").alias("ts_ms"), "val")
     return _unshift(out, node, grid)
@@ -176,12 +251,13 @@ def range_function(points: DataFrame, fn: str, node: Q.Selector | Q.Subquery, gr
 
 def _stretch(range_ms: int, fn: str, rise: Column) -> Column:
     """How far the points' own span is carried on towards the ends of the range (the public definition)."""
-    span = (F.col("last_ts") - F.col("first_ts")) / 1000
+    first, last = F.col("first"), F.col("last")
+    span = (last["ts_ms"] - first["ts_ms"]) / 1000
     gap = span / (F.col("n") - 1)
-    head = (F.col("first_ts") - (F.col("at") - range_ms)) / 1000
-    tail = (F.col("at") - F.col("last_ts")) / 1000
+    head = (first["ts_ms"] - (F.col("at") - range_ms)) / 1000
+    tail = (F.col("at") - last["ts_ms"]) / 1000
     if fn != "delta":
-        zero = F.when((rise > 0) & (F.col("first") >= 0), span * F.col("first") / rise)
+        zero = F.when((rise > 0) & (first["val"] >= 0), span * first["val"] / rise)
         head = F.least(head, F.coalesce(zero, head))
     near = lambda x: F.when(x < gap * 1.1, x).otherwise(gap / 2)
     return (span + near(head) + near(tail)) / span
@@ -192,6 +268,8 @@ RANGE_FUNCTIONS = (
     "max_over_time", "last_over_time", "first_over_time", "present_over_time", "stddev_over_time", "stdvar_over_time", "mad_over_time",
 )
 
+ROLLED = ("rate", "increase", "delta", "irate", "idelta", "resets", "changes", "sum_over_time", "count_over_time", "avg_over_time", "min_over_time", "max_over_time", "last_over_time", "present_over_time")
+
 MATH = {
     "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "exp": F.exp, "sqrt": F.sqrt,
     "ln": lambda x: F.when(x > 0, F.log(x)).when(x == 0, float("-inf")).otherwise(float("nan")), "log2": lambda x: F.when(x > 0, F.log2(x)).when(x == 0, float("-inf")).otherwise(float("nan")),
@@ -266,7 +344,7 @@ def _aggregate(points: DataFrame, node: Q.Aggregation, grid: Grid) -> DataFrame:
 
 def _arithmetic(op: str, a: Column, b: Column) -> Column:
     zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
-    return {"+": a + b, "-": a - b, "*": a * b, "/": F.when(b == 0, zero).otherwise(F.try_divide(a, b)), "%": F.when(b == 0, float("nan")).otherwise(F.try_mod(a, b)), "^": F.pow(a, b)}[op]
+    return {"+": a + b, "-": a - b, "*": a * b, "/": F.when(b == 0, zero).otherwise(F.try_divide(a, b)), "%": F.when(b == 0, float("nan")).otherwise(F.try_mod(a, b)), "^": F.pow(a, b), "atan2": F.atan2(a, b)}[op]
 
 
 def _compare(op: str, a: Column, b: Column) -> Column:
@@ -359,7 +437,7 @@ def _call(points: DataFrame, node: Q.Call, grid: Grid) -> DataFrame | Scalar:
         frame = grid.frame(spark).join(one, "ts_ms", "left")
         return Scalar(frame=frame.select("ts_ms", F.when(F.col("n") == 1, F.col("v")).otherwise(float("nan")).alias("val")))
     if fn == "timestamp" and isinstance(args[0], Q.Selector):
-        stamped = points.withColumn("val", F.col("ts_ms") / 1000)
+        stamped = replace(points, shape=lambda df: points.shape(df).withColumn("val", F.col("ts_ms") / 1000)) if isinstance(points, Timed) else points.withColumn("val", F.col("ts_ms") / 1000)
         return mapped(instant(stamped, args[0], grid), val)
     if fn in DATES:
         df = _vector(points, args[0], grid) if args else _as_vector(Scalar(F.col("ts_ms") / 1000), spark, grid)

@@ -5,15 +5,19 @@ A profile row: type_id, service_name, timestamp_ns, labels MAP, stack ARRAY<STRI
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from obsidra.functions.labels import matched
 from obsidra.operators.logs import grouped
 from obsidra.plans.lexing import Cursor, QueryError
 from obsidra.plans.logql import matchers
+from obsidra.plans.model import canonical
 
-MOST_NODES = 2_000_000
+MOST_NODES = 2_000_000  # of a layout, which is for one screen; merged trees have no limit
 
 
 def type_parts(type_id: str) -> dict[str, str]:
@@ -50,8 +54,40 @@ def label_values(profiles: DataFrame, name: str) -> DataFrame:
     return profiles.select(F.col("labels")[name].alias("value")).where("value IS NOT NULL").distinct()
 
 
-def series(profiles: DataFrame, selector: str) -> DataFrame:
-    return selected(profiles, selector).groupBy("type_id", "service_name", "labels").agg(F.lit(1).alias("one")).drop("one")
+def series(profiles: DataFrame, *selectors: str) -> DataFrame:
+    """Distinct (type_id, service_name, labels) that any of the selectors matches."""
+    found = [selected(profiles, s).select("type_id", "service_name", "labels") for s in selectors]
+    return reduce(DataFrame.union, found).groupBy("type_id", "service_name", "labels").agg(F.lit(1).alias("one")).drop("one")
+
+
+def size(profiles: DataFrame, selector: str | None = None) -> DataFrame:
+    """(bytes, series): what the stacks and values take, and distinct series."""
+    found = profiles if selector is None else selected(profiles, selector)
+    own = F.octet_length(F.array_join("stack", ";")) + 8
+    return found.agg(F.coalesce(F.sum(own), F.lit(0)).alias("bytes"), F.count_distinct("type_id", "service_name", canonical(F.col("labels"))).alias("series"))
+
+
+def stats(profiles: DataFrame) -> DataFrame:
+    """(ingested, oldest_ms, newest_ms); 0 where there is nothing."""
+    ms = lambda c: F.coalesce(F.expr(f"{c}(timestamp_ns) div 1000000"), F.lit(0))
+    return profiles.agg((F.count(F.lit(1)) > 0).alias("ingested"), ms("min").alias("oldest_ms"), ms("max").alias("newest_ms"))
+
+
+def analyze(profiles: DataFrame, selector: str) -> DataFrame:
+    """(series, samples, bytes) that a query reads."""
+    found = selected(profiles, selector)
+    return size(found).join(found.agg(F.count(F.lit(1)).alias("samples"))).select("series", "samples", "bytes")
+
+
+def render(profiles: DataFrame, selector: str, step_ns: int, from_ns: int | None = None, to_ns: int | None = None) -> dict:
+    """What a page shows of a query: its flame graph and its series over time."""
+    found = profiles if from_ns is None and to_ns is None else selected(profiles, "{}", from_ns, to_ns)
+    line = select_series(found, selector, step_ns).orderBy("ts_ns").collect()  # a row a step
+    return {"flamegraph": flamegraph(merged_tree(found, selector)), "timeline": {"step_ns": step_ns, "samples": [[r.ts_ns, r.value] for r in line]}}
+
+
+def render_diff(profiles: DataFrame, left: str, right: str) -> dict:
+    return flamegraph_diff(diff_tree(profiles, left, right))
 
 
 def select_series(profiles: DataFrame, selector: str, step_ns: int, by: tuple[str, ...] = (), average: bool = False) -> DataFrame:
@@ -82,40 +118,66 @@ def diff_tree(profiles: DataFrame, left: str, right: str) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", *[zero(c).alias(n) for c, n in (("ls", "left_self"), ("lt", "left_total"), ("rs", "right_self"), ("rt", "right_total"))])
 
 
-def _children(tree: DataFrame) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for r in sorted(tree.limit(MOST_NODES).collect(), key=lambda r: r.path):  # a layout is for one screen: capped, on the driver
-        out.setdefault(r.path.rpartition(";")[0], []).append(r)
-    return out
-
-
-def flamegraph(tree: DataFrame) -> dict:
-    """Names and levels for drawing: per level a flat list of offset (from the last bar's end), total, self, name index."""
-    children = _children(tree)
-    total = sum(r.total for r in children.get("", []))
-    levels = [[0, total, 0, 0]]
-    index = {"total": 0}
-    row = [(0, r) for r in children.get("", [])]
-    at = 0
-    placed = []
-    for _, r in row:
+def merged_profile(profiles: DataFrame, selector: str) -> bytes:
+    """A pprof body of the merged stacks, with one sample type a type id."""
+    from obsidra.sources.wire import message
+
+    found = selected(profiles, selector).groupBy("type_id", "stack").agg(F.sum("value").alias("value")).orderBy("type_id", "stack")
+    rows = found.limit(MOST_NODES).collect()
+    types_, strings, names = list(dict.fromkeys(r.type_id for r in rows)), {"": 0}, {}
+    text = lambda x: strings.setdefault(x, len(strings))
+    place = lambda x: names.setdefault(x, len(names) + 1)
+    packed = lambda values: b"".join(message((1, v))[1:] for v in values)
+    out = [message((1, message((1, text(p["sample_type"])), (2, text(p["sample_unit"]))))) for p in map(type_parts, types_)]
+    for r in rows:
+        values = [r.value if t == r.type_id else 0 for t in types_]
+        out.append(message((2, message((1, packed(place(f) for f in reversed(r.stack))), (2, packed(values))))))
+    for name, k in names.items():
+        out.append(message((4, message((1, k), (4, message((1, k)))))) + message((5, message((1, k), (2, text(name))))))
+    return b"".join([*out, *(message((6, s)) for s in strings)])
+
+
+def _layout(tree: DataFrame, total: Callable[[Row], int], bar: Callable[[Row], list[int]], order: str) -> tuple[list[str], list[list[int]], list[Row]]:
+    """Names and levels: per level a flat list, per bar its offset from the last one's end, then ``bar`` and its name."""
+    children: dict[str, list[Row]] = {}
+    rows = tree.orderBy(F.desc(order), "path").limit(MOST_NODES).collect()
+    for r in sorted(rows, key=lambda r: r.path):
+        children.setdefault(r.path.rpartition(";")[0], []).append(r)
+    index, levels = {"total": 0}, []
+    placed, at = [], 0
+    for r in children.get("", []):
         placed.append((at, r))
-        at += r.total
-    most = max([r.self for rows in children.values() for r in rows], default=0)
+        at += total(r)
     while placed:
         level: list[int] = []
         end, below = 0, []
         for x, r in placed:
-            name = r.path.rpartition(";")[2]
-            level += [x - end, r.total, r.self, index.setdefault(name, len(index))]
-            end, inner = x + r.total, x
+            level += [x - end, *bar(r), index.setdefault(r.path.rpartition(";")[2], len(index))]
+            end, inner = x + total(r), x
             for child in children.get(r.path, []):
                 below.append((inner, child))
-                inner += child.total
+                inner += total(child)
         levels.append(level)
         placed = below
-    names = [n for n, _ in sorted(index.items(), key=lambda i: i[1])]
-    return {"names": names, "levels": levels, "total": total, "max_self": most}
+    return list(index), levels, children.get("", [])
+
+
+def flamegraph(tree: DataFrame) -> dict:
+    """Names and levels for drawing: per bar the offset from the last bar's end, total, self, name."""
+    names, levels, roots = _layout(tree, lambda r: r.total, lambda r: [r.total, r.self], "total")
+    total = sum(r.total for r in roots)
+    return {"names": names, "levels": [[0, total, 0, 0], *levels], "total": total, "max_self": max([x for level in levels for x in level[2::4]], default=0)}
+
+
+def flamegraph_diff(tree: DataFrame) -> dict:
+    """As flamegraph(), of a difference: per bar offset, total and self of the left, then of the right side, name. A bar
+    is as wide as both its totals, so that every node of either side has room."""
+    both = lambda r: r.left_total + r.right_total
+    tree = tree.withColumn("both", F.col("left_total") + F.col("right_total"))
+    names, levels, roots = _layout(tree, both, lambda r: [r.left_total, r.left_self, r.right_total, r.right_self], "both")
+    left, right = (sum(r[f"{side}_total"] for r in roots) for side in ("left", "right"))
+    most = max([max(level[k], level[k + 2]) for level in levels for k in range(2, len(level) - 3, 6)], default=0)
+    return {"names": names, "levels": [[0, left, 0, right, 0, 0], *levels], "total": left + right, "left_ticks": left, "right_ticks": right, "max_self": most}
 
 
 def dot(tree: DataFrame, most: int = 100) -> str:

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsidra.functions.labels import java_regex, number
+from obsidra.plans import plugins
 from obsidra.plans import traceql as Q
 from obsidra.plans.lexing import QueryError
+from obsidra.plans.model import Timed
+from obsidra.plans.shared import stored
 
 SPANS_A_TRACE = 100
 SPANS_BY_ID = 2000
@@ -43,6 +46,14 @@ def condition(tree: object) -> Column:
     if isinstance(tree, Q.Both):
         a, b = condition(tree.left), condition(tree.right)
         return a & b if tree.op == "and" else a | b
+    if isinstance(tree, Q.Not):
+        return ~condition(tree.inner)
+    if isinstance(tree, Q.Comparison):
+        if tree.op in ("=~", "!~"):
+            raise QueryError("a pattern can't be compared with a sum")
+        plain = isinstance(tree.left, Q.Attr | Q.Value) and isinstance(tree.right, Q.Attr | Q.Value) and tree.op in ("=", "!=")
+        a, b = ((_shown if plain else _figure)(x) for x in (tree.left, tree.right))
+        return F.coalesce(_test(a, tree.op, b), F.lit(False))
     name, have = bare(tree.name), attribute(tree.name)
     if name.startswith("nestedSet"):
         return F.col("parent_id") == "" if name == "nestedSetParent" and tree.op == "<" else F.lit(True)
@@ -60,6 +71,22 @@ def condition(tree: object) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _shown(x: object) -> Column:
+    return attribute(x.name).cast("string") if isinstance(x, Q.Attr) else F.lit(str(x.value))
+
+
+def _figure(x: object) -> Column:
+    """A sum's value as a number; durations are in nanoseconds."""
+    if isinstance(x, Q.Attr):
+        return attribute(x.name).cast("double") if bare(x.name) in ("duration", "traceDuration") else number(attribute(x.name))
+    if isinstance(x, Q.Value):
+        if x.kind == "string":
+            raise QueryError("a sum of texts")
+        return F.lit(float(x.value))
+    a, b = _figure(x.left), _figure(x.right)
+    return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b), "%": F.try_mod(a, b), "^": F.pow(a, b)}[x.op]
+
+
 def _with_roots(spans: DataFrame) -> DataFrame:
     trace = Window.partitionBy("trace_id")
     first = F.struct("timestamp_ns", "span_id")
@@ -70,9 +97,9 @@ def _with_roots(spans: DataFrame) -> DataFrame:
 
 
 def _names(tree: object) -> set[str]:
-    if isinstance(tree, Q.Term):
+    if isinstance(tree, Q.Term | Q.Attr):
         return {bare(tree.name)}
-    return set().union(*(_names(getattr(tree, x)) for x in ("left", "right", "condition", "spans") if hasattr(tree, x)), set())
+    return set().union(*(_names(getattr(tree, x)) for x in ("left", "right", "condition", "spans", "inner") if hasattr(tree, x)), set())
 
 
 def spansets(spans: DataFrame, tree: object, same_span: bool = False) -> DataFrame:
@@ -80,20 +107,36 @@ def spansets(spans: DataFrame, tree: object, same_span: bool = False) -> DataFra
     if isinstance(tree, Q.Spanset):
         return spans.where(condition(tree.condition))
     if isinstance(tree, Q.Query):
-        found = spansets(spans, tree.spans, same_span)
-        for stage in tree.stages:
-            found = _having(found, stage)
-        return found
+        return _filtered(spansets(spans, tree.spans, same_span), tree.stages, strict=True)
+    if isinstance(tree.left, Q.Spanset) and isinstance(tree.right, Q.Spanset) and tree.op in ("||", "&&"):
+        a, b = condition(tree.left.condition), condition(tree.right.condition)
+        if tree.op == "||" or same_span:
+            return spans.where(a | b if tree.op == "||" else a & b)
+        some = spans.where(a | b)
+        both = some.groupBy("trace_id").agg(F.max(a).alias("a"), F.max(b).alias("b")).where("a AND b").select("trace_id")
+        return some.join(both, "trace_id", "left_semi")
     left, right = spansets(spans, tree.left, same_span), spansets(spans, tree.right, same_span)
-    if tree.op == "||":
-        return left.union(right).dropDuplicates(KEY)
-    if tree.op == "&&":
-        if same_span:
-            return left.join(right.select(*KEY), KEY, "left_semi")
-        both = left.select("trace_id").join(right.select("trace_id"), "trace_id", "left_semi").distinct()
-        return left.union(right).join(both, "trace_id", "left_semi").dropDuplicates(KEY)
-    op = tree.op.lstrip("&!")
-    how = "left_anti" if tree.op.startswith("!") else "left_semi"
+    if tree.op == "&&" and same_span:
+        return left.join(right.select(*KEY), KEY, "left_semi")
+    if tree.op in ("||", "&&"):
+        keys = left.select(*KEY).union(right.select(*KEY))
+        if tree.op == "&&":
+            keys = keys.join(_shared_traces(left, right), "trace_id", "left_semi")
+        return spans.join(keys, KEY, "left_semi")
+    if tree.op.startswith("&"):  # both sides of each relation
+        op = tree.op[1:]
+        back = {">": "<", "<": ">", ">>": "<<", "<<": ">>", "~": "~"}[op]
+        keys = _related(spans, left, right, op, "left_semi").select(*KEY).union(_related(spans, right, left, back, "left_semi").select(*KEY))
+        return spans.join(keys, KEY, "left_semi")
+    return _related(spans, left, right, tree.op.lstrip("!"), "left_anti" if tree.op.startswith("!") else "left_semi")
+
+
+def _shared_traces(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select("trace_id").distinct().join(right.select("trace_id"), "trace_id", "left_semi")
+
+
+def _related(spans: DataFrame, left: DataFrame, right: DataFrame, op: str, how: str) -> DataFrame:
+    """The spans of ``right`` that stand in the relation ``op`` to one of ``left``, or (anti) to none."""
     if op == ">":
         parents = left.select("trace_id", F.col("span_id").alias("parent_id"))
         return right.join(parents, ["trace_id", "parent_id"], how)
@@ -102,66 +145,99 @@ def spansets(spans: DataFrame, tree: object, same_span: bool = False) -> DataFra
         return right.join(children, KEY, how)
     if op == "~":
         a = left.where("parent_id <> ''").select("trace_id", "parent_id", F.col("span_id").alias("other"))
-        near = right.alias("r").join(a.alias("a"), (F.col("r.trace_id") == F.col("a.trace_id")) & (F.col("r.parent_id") == F.col("a.parent_id")) & (F.col("r.span_id") != F.col("a.other")), how)
-        return near
+        return right.alias("r").join(a.alias("a"), (F.col("r.trace_id") == F.col("a.trace_id")) & (F.col("r.parent_id") == F.col("a.parent_id")) & (F.col("r.span_id") != F.col("a.other")), how)
     if op in (">>", "<<"):
-        pairs = _ancestry(spans)
-        if op == ">>":
-            reached = pairs.join(left.select("trace_id", F.col("span_id").alias("above")), ["trace_id", "above"], "left_semi").select(*KEY)
-        else:
-            reached = pairs.join(left.select(*KEY), KEY, "left_semi").select("trace_id", F.col("above").alias("span_id"))
-        return right.join(reached.distinct(), KEY, how)
-    raise QueryError(f"unknown operator {tree.op}")
-
-
-def _ancestry(spans: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(trace_id, span_id, above) for every ancestor, by doubling: pairs up to distance d give those up to 2d."""
-    links = spans.where("parent_id <> ''").select("trace_id", "span_id", F.col("parent_id").alias("above"))
-    all_, depth = links, 1
-    while depth < most_depth:
-        far = all_.select("trace_id", "span_id", F.col("above").alias("mid")).join(all_.select("trace_id", F.col("span_id").alias("mid"), "above"), ["trace_id", "mid"])
-        grown = all_.union(far.select("trace_id", "span_id", "above")).distinct().checkpoint()
-        if grown.count() == all_.count():
-            return grown
-        all_, depth = grown, depth * 2
-    return all_
-
-
-def _having(found: DataFrame, stage: object) -> DataFrame:
-    if not isinstance(stage, Q.Having):
-        raise QueryError("this stage has to stand at the end")
+        return right.join(_reached(spans, left, right, op), KEY, how)
+    raise QueryError(f"unknown operator {op}")
+
+
+def _reached(spans: DataFrame, left: DataFrame, right: DataFrame, op: str) -> DataFrame:
+    """Keys of the spans below (>>) or above (<<) a span of ``left``, in the traces that hold spans of both sides.
+
+    Each span points to an ancestor, at first its parent. A round lets it point to where that one points, so distances
+    double, and carries the marks over: a table stays as long as the traces, and depth costs rounds by its logarithm."""
+    shared = _shared_traces(left, right)
+    marked = left.select(*KEY, F.lit(True).alias("is_left"))
+    at = spans.join(shared, "trace_id", "left_semi").select(*KEY, F.nullif("parent_id", F.lit("")).alias("up")).join(marked, KEY, "left").withColumn("hit", F.coalesce("is_left", F.lit(False)))
+    start = stored(at.select(*KEY, "up", "hit"), "lineage")
+    now = start.where("up IS NOT NULL" if op == ">>" else "true")
+    above = start.select("trace_id", F.col("span_id").alias("up"), F.col("hit").alias("up_hit"))
+    if op == ">>":  # hit: one of the ancestors looked at so far is of the left side
+        now = now.join(above, ["trace_id", "up"], "left").select(*KEY, "up", F.coalesce("up_hit", F.lit(False)).alias("hit"))
+        ends = now.select(*KEY, "up", "hit")
+        while not ends.where("up IS NOT NULL AND NOT hit").limit(1).isEmpty():
+            far = ends.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("far_hit"))
+            grown = ends.join(far, ["trace_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("hit") | F.coalesce("far_hit", F.lit(False))).alias("hit"))
+            ends = stored(_acyclic(grown), "lineage")
+        return ends.where("hit").select(*KEY)
+    # hit: of the left side itself, or with such a span below among those looked at so far.
+    while not now.where("up IS NOT NULL AND hit").limit(1).isEmpty():
+        raised = now.where("hit AND up IS NOT NULL").select("trace_id", F.col("up").alias("span_id"), F.lit(True).alias("more")).distinct()
+        far = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"))
+        grown = now.join(raised, KEY, "left").join(far, ["trace_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
+        now = stored(_acyclic(grown), "lineage")
+    hits = now.where("hit").select(*KEY).join(start.select(*KEY, F.col("up").alias("parent")), KEY)
+    return hits.where("parent IS NOT NULL").select("trace_id", F.col("parent").alias("span_id")).distinct()
+
+
+def _acyclic(ends: DataFrame) -> DataFrame:
+    """A span that has come back to itself is on a cycle of parents, all of which it has seen."""
+    return ends.withColumn("up", F.when(F.col("up") != F.col("span_id"), F.col("up")))
+
+
+def _filtered(found: DataFrame, stages: tuple, strict: bool = False) -> DataFrame:
+    """``found`` through the stages that drop spans; ``by`` makes those after it count per value, not per trace."""
+    by: list[Column] = []
+    for stage in stages:
+        if isinstance(stage, Q.Having):
+            found = _having(found, stage, by)
+        elif isinstance(stage, tuple) and stage[0] == "by":
+            by = [attribute(n).cast("string") for n in stage[1]]
+        elif strict:
+            raise QueryError("this stage has to stand at the end")
+    return found
+
+
+def _having(found: DataFrame, stage: Q.Having, by: list[Column]) -> DataFrame:
     x = None if stage.attr is None else F.col("duration_ns").cast("double") if bare(stage.attr) == "duration" else number(attribute(stage.attr))
     value = {"count": lambda: F.count_distinct("span_id"), "avg": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "sum": lambda: F.sum(x)}[stage.fn]()
-    traces = found.groupBy("trace_id").agg(value.alias("v")).where(_test(F.col("v"), stage.op, stage.value)).select("trace_id")
-    return found.join(traces, "trace_id", "left_semi")
+    keys = {f"by_{k}": F.coalesce(c, F.lit("")) for k, c in enumerate(by)}
+    marked = found.withColumns(keys) if keys else found
+    groups = marked.groupBy("trace_id", *keys).agg(value.alias("v")).where(_test(F.col("v"), stage.op, stage.value)).select("trace_id", *keys)
+    return marked.join(groups, ["trace_id", *keys], "left_semi").select(*found.columns)
 
 
 def _prepared(spans: DataFrame, tree: Q.Query) -> DataFrame:
-    needs = {"rootServiceName", "rootName", "traceDuration"} & (_names(tree.spans) | {bare(n) for s in tree.stages if isinstance(s, Q.Metric) for n in s.by})
+    by = {bare(n) for s in tree.stages for n in (s.by if isinstance(s, Q.Metric) else s[1] if isinstance(s, tuple) and s[0] in ("by", "select") else ())}
+    needs = {"rootServiceName", "rootName", "traceDuration"} & (_names(tree.spans) | by)
     return _with_roots(spans) if needs else spans
 
 
-def _bounded(spans: DataFrame, from_ns: int | None, to_ns: int | None) -> DataFrame:
+def _bounded(spans: DataFrame | Timed, from_ns: int | None, to_ns: int | None) -> DataFrame:
+    if isinstance(spans, Timed):
+        spans = spans.between(from_ns, to_ns)
     if from_ns is not None:
         spans = spans.where(F.col("timestamp_ns") >= from_ns)
     return spans if to_ns is None else spans.where(F.col("timestamp_ns") < to_ns)
 
 
-def search(spans: DataFrame, text: str, *, from_ns: int | None = None, to_ns: int | None = None, limit: int = 0, same_span: bool = False) -> DataFrame:
-    """A row per trace that matches: trace_id, root_service, root_name, start_ns, duration_ms, and its matched spans (at
-    most SPANS_A_TRACE of them, newest first)."""
+def search(spans: DataFrame, text: str, *, from_ns: int | None = None, to_ns: int | None = None, limit: int = 0, same_span: bool = False, spans_a_trace: int | None = SPANS_A_TRACE) -> DataFrame:
+    """A row per trace that matches: trace_id, root_service, root_name, start_ns, duration_ms, and its matched spans,
+    newest first (at most ``spans_a_trace`` of them, None for all)."""
+    if (own := plugins.planned("trace_query", spans, text, (from_ns, to_ns, limit))) is not None:
+        return own
     tree = Q.parse(text)
     inside = _prepared(_bounded(spans, from_ns, to_ns), tree)
-    found = spansets(inside, tree.spans, same_span)
+    found = _filtered(spansets(inside, tree.spans, same_span), tree.stages)
     for stage in tree.stages:
-        if isinstance(stage, Q.Having):
-            found = _having(found, stage)
-        elif isinstance(stage, tuple) and stage[0] == "select":
+        if isinstance(stage, tuple) and stage[0] == "select":
             found = found.withColumn("attrs", F.map_filter("attrs", lambda k, _, keep=stage[1]: k.isin(*map(bare, keep))))
     place = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("timestamp_ns"), "span_id"))
-    kept = found.withColumn("p", place).where(F.col("p") <= SPANS_A_TRACE)
+    kept = found.withColumn("p", place)
+    kept = kept if spans_a_trace is None else kept.where(F.col("p") <= spans_a_trace)
     matched = kept.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("p", "span_id", "name", "service_name", "timestamp_ns", "duration_ns"))).alias("spans"), F.count(F.lit(1)).alias("matched"))
-    out = summaries(inside).join(matched, "trace_id")
+    # Only traces that match are summed up.
+    out = summaries(inside.join(matched.select("trace_id"), "trace_id", "left_semi")).join(matched, "trace_id")
     return out.orderBy(F.desc("start_ns"), "trace_id").limit(limit) if limit else out
 
 
@@ -174,8 +250,9 @@ def summaries(spans: DataFrame) -> DataFrame:
     )
 
 
-def by_id(spans: DataFrame, trace_id: str, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
-    return _bounded(spans, from_ns, to_ns).where(F.col("trace_id") == trace_id).orderBy("timestamp_ns", "span_id").limit(SPANS_BY_ID)
+def by_id(spans: DataFrame, trace_id: str, from_ns: int | None = None, to_ns: int | None = None, limit: int | None = SPANS_BY_ID) -> DataFrame:
+    found = _bounded(spans, from_ns, to_ns).where(F.col("trace_id") == trace_id).orderBy("timestamp_ns", "span_id")
+    return found if limit is None else found.limit(limit)
 
 
 def tags(spans: DataFrame, text: str | None = None) -> DataFrame:
@@ -198,29 +275,33 @@ def tag_search(spans: DataFrame, pairs: dict[str, str], min_ns: int | None = Non
     return spans if max_ns is None else spans.where(F.col("duration_ns") <= max_ns)
 
 
-def metrics(spans: DataFrame, text: str, from_ns: int, to_ns: int, step_ns: int | None, zero_fill: bool = False) -> DataFrame:
+def _power_of_two(d: Column) -> Column:
+    """The power of two at or above."""
+    return F.when(d <= 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(d)))).cast("long")
+
+
+def metrics(spans: DataFrame, text: str, from_ns: int, to_ns: int, step_ns: int | None, zero_fill: bool = False, approximate: bool = False) -> DataFrame:
     """Span metrics: the by-columns, ts_ns (the step; left out for an instant query, ``step_ns`` None) and value. A
-    histogram has the column ``bucket``: the power of two at or above the duration in ns."""
+    histogram has the column ``bucket``: the power of two at or above the duration in ns. Several quantiles make a row each,
+    told apart by the column ``p``. ``approximate`` quantiles need no buffer of all values."""
     tree = Q.parse(text)
     stage = next((s for s in tree.stages if isinstance(s, Q.Metric)), None)
     if stage is None:
         raise QueryError("a metrics stage is needed")
-    found = spansets(_prepared(_bounded(spans, from_ns, to_ns), tree), tree.spans)
-    for s in tree.stages:
-        if isinstance(s, Q.Having):
-            found = _having(found, s)
+    found = _filtered(spansets(_prepared(_bounded(spans, from_ns, to_ns), tree), tree.spans), tree.stages)
     keys = [attribute(n).cast("string").alias(bare(n)) for n in stage.by]
     names = [bare(n) for n in stage.by]
     seconds = (step_ns or to_ns - from_ns) / 1e9
     x = None if stage.attr is None else F.col("duration_ns") / 1e9 if bare(stage.attr) == "duration" else number(attribute(stage.attr))
     n = F.count(F.lit(1)).cast("double")
     if stage.fn == "histogram_over_time":
-        d = F.col("duration_ns")
-        keys.append(F.when(d <= 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(d)))).cast("long").alias("bucket"))
+        keys.append(_power_of_two(F.col("duration_ns")).alias("bucket"))
         names.append("bucket")
+    several = stage.fn == "quantile_over_time" and len(stage.params) > 1
+    shares = F.array(*map(F.lit, stage.params)) if several else F.lit(stage.params[0] if stage.params else 0.5)
     value = {
         "rate": lambda: n / seconds, "count_over_time": lambda: n, "histogram_over_time": lambda: n, "avg_over_time": lambda: F.avg(x), "min_over_time": lambda: F.min(x),
-        "max_over_time": lambda: F.max(x), "sum_over_time": lambda: F.sum(x), "quantile_over_time": lambda: F.percentile(x, F.lit(stage.params[0] if stage.params else 0.5)),
+        "max_over_time": lambda: F.max(x), "sum_over_time": lambda: F.sum(x), "quantile_over_time": lambda: F.percentile_approx(x, shares, 10_000) if approximate else F.percentile(x, shares),
     }[stage.fn]()
     if step_ns is None:
         out = found.groupBy(*keys).agg(value.alias("value"))
@@ -229,23 +310,35 @@ def metrics(spans: DataFrame, text: str, from_ns: int, to_ns: int, step_ns: int
         if zero_fill:
             grid = F.explode(F.sequence(F.lit(from_ns // step_ns * step_ns), F.lit(to_ns), F.lit(step_ns))).alias("ts_ns")
             series = out.groupBy(*names).agg(F.lit(1).alias("one")).select(*names, grid)
-            out = series.join(out, [*names, "ts_ns"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+            have = out.select(*[F.col(n).alias(f"own_{n}") for n in names], F.col("ts_ns").alias("own_ts"), F.col("value").alias("own_value"))
+            near = F.col("own_ts") == F.col("ts_ns")
+            for n in names:
+                near = near & F.col(f"own_{n}").eqNullSafe(F.col(n))
+            none = F.array(*[F.lit(0.0)] * len(stage.params)) if several else F.lit(0.0)
+            out = series.join(have, near, "left").select(*names, "ts_ns", F.coalesce("own_value", none).alias("value"))
+    if several:
+        pairs = F.explode(F.arrays_zip(shares.alias("p"), F.col("value").alias("v"))).alias("x")
+        out = out.select(*[c for c in out.columns if c != "value"], pairs).select("*", F.col("x.p").alias("p"), F.col("x.v").alias("value")).drop("x")
+        names.append("p")
     for s in tree.stages:
         if isinstance(s, tuple) and s[0] in ("topk", "bottomk"):
             order = F.desc("value") if s[0] == "topk" else F.asc("value")
             place = F.row_number().over(Window.partitionBy(*(["ts_ns"] if step_ns else [])).orderBy(order, *names))
-            out = out.withColumn("p", place).where(F.col("p") <= s[1]).drop("p")
+            out = out.withColumn("__place", place).where(F.col("__place") <= s[1]).drop("__place")
     return out
 
 
 def exemplars(spans: DataFrame, text: str, from_ns: int, to_ns: int, step_ns: int) -> DataFrame:
-    """One span per step and group: the earliest."""
+    """One span per step and group (of a histogram: and bucket): the earliest."""
     tree = Q.parse(text)
     stage = next(s for s in tree.stages if isinstance(s, Q.Metric))
-    found = spansets(_prepared(_bounded(spans, from_ns, to_ns), tree), tree.spans)
+    found = _filtered(spansets(_prepared(_bounded(spans, from_ns, to_ns), tree), tree.spans), tree.stages)
     keys = [attribute(n).cast("string").alias(bare(n)) for n in stage.by]
+    if stage.fn == "histogram_over_time":
+        keys.append(_power_of_two(F.col("duration_ns")).alias("bucket"))
+    names = [bare(n) for n in stage.by] + ["bucket"] * (stage.fn == "histogram_over_time")
     first = F.min(F.struct("timestamp_ns", "trace_id", "span_id", "duration_ns")).alias("e")
-    return found.groupBy(*keys, F.expr(f"timestamp_ns div {step_ns} * {step_ns}").alias("ts_ns")).agg(first).select(*[bare(n) for n in stage.by], "ts_ns", "e.trace_id", "e.span_id", "e.duration_ns")
+    return found.groupBy(*keys, F.expr(f"timestamp_ns div {step_ns} * {step_ns}").alias("ts_ns")).agg(first).select(*names, "ts_ns", "e.trace_id", "e.span_id", "e.duration_ns")
 
 
 def compare(spans: DataFrame, text: str, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:

@@ -7,14 +7,46 @@ Spans: trace_id, span_id, parent_id, name, service_name STRING, timestamp_ns, du
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-SAMPLES = "day DATE, fingerprint LONG, timestamp_ns LONG, value DOUBLE, string STRING, type BYTE"
-TIME_SERIES = "date DATE, fingerprint LONG, type BYTE, labels MAP<STRING,STRING>, metadata STRING, updated_at_ns LONG"
-LABEL_INDEX = "date DATE, key STRING, val STRING, fingerprint LONG, type BYTE"
-METRICS_15S = "fingerprint LONG, timestamp_ns LONG, type BYTE, last DOUBLE, last_ts LONG, max DOUBLE, min DOUBLE, count LONG, sum DOUBLE, bytes DOUBLE"
-LOG, METRIC, BOTH = 1, 2, 0
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@dataclass(frozen=True)
+class Timed:
+    """A source whose time bounds are put on its own time column, so that they reach the scan, before ``shape`` turns it
+    into entries, points or spans. ``day``, if there is one, is a date column that partitions the source."""
+
+    raw: DataFrame
+    time: str
+    shape: Callable[[DataFrame], DataFrame]
+    day: str | None = None
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802
+        return self.raw.sparkSession
+
+    def all(self) -> DataFrame:
+        return self.shape(self.raw)
+
+    def between(self, low_ns: int | None, high_ns: int | None) -> DataFrame:
+        """Rows from ``low_ns`` up to ``high_ns``, rounded outwards to what the time column tells apart."""
+        df, kind = self.raw, self.raw.schema[self.time].dataType
+        for bound, low in ((low_ns, True), (high_ns, False)):
+            if bound is None or abs(bound) >= 1 << 62:
+                continue
+            micros = bound // 1000 if low else -(-bound // 1000)
+            moment = datetime(1970, 1, 1) + timedelta(microseconds=micros)
+            own = F.lit(bound) if isinstance(kind, T.LongType) else F.lit(moment).cast("timestamp_ntz") if isinstance(kind, T.TimestampNTZType) else F.timestamp_micros(F.lit(micros))
+            df = df.where(F.col(self.time) >= own if low else F.col(self.time) <= own)
+            if self.day is not None:
+                on = F.lit(moment.date())
+                df = df.where(F.col(self.day) >= on if low else F.col(self.day) <= on)
+        return self.shape(df)
 
 
 def canonical(labels: Column) -> Column:
@@ -30,35 +62,11 @@ def label(name: str) -> Column:
     return F.col("labels")[name]
 
 
-def store(entries: DataFrame, type_: int = BOTH) -> tuple[DataFrame, DataFrame]:
-    """(samples, time_series) of entries: one series row per day and label set."""
-    marked = entries.withColumns({"fingerprint": fingerprint(F.col("labels")), "day": F.to_date(F.timestamp_micros(F.expr("timestamp_ns div 1000")))})
-    samples = marked.select("day", "fingerprint", "timestamp_ns", "value", "string", F.lit(type_).cast("byte").alias("type"))
-    series = marked.groupBy("day", "fingerprint").agg(F.first("labels").alias("labels"), F.max("timestamp_ns").alias("updated_at_ns"))
-    return samples, series.select(
-        F.col("day").alias("date"), "fingerprint", F.lit(type_).cast("byte").alias("type"), "labels", F.lit("").alias("metadata"), "updated_at_ns"
-    )
-
-
-def label_index(series: DataFrame) -> DataFrame:
-    return series.select("date", F.explode("labels").alias("key", "val"), "fingerprint", "type").distinct()
-
-
-def entries_of(samples: DataFrame, series: DataFrame, matched: Column | None = None, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
-    """Entries of stored samples: matchers run on the series, the day and time bounds on the samples, and one label row
-    per fingerprint is joined, broadcast by the engine where it is small."""
-    if matched is not None:
-        series = series.where(matched)
-    if from_ns is not None:
-        samples = samples.where((F.col("timestamp_ns") >= from_ns) & (F.col("day") >= F.to_date(F.timestamp_micros(F.lit(from_ns // 1000)))))
-    if to_ns is not None:
-        samples = samples.where((F.col("timestamp_ns") < to_ns) & (F.col("day") <= F.to_date(F.timestamp_micros(F.lit(to_ns // 1000)))))
-    labels = series.groupBy("fingerprint").agg(F.first("labels").alias("labels"))
-    return samples.join(labels, "fingerprint").select("timestamp_ns", "labels", "string", "value")
+def frame_of(source: DataFrame | Timed) -> DataFrame:
+    return source.all() if isinstance(source, Timed) else source
 
 
-def events_entries(events: DataFrame) -> DataFrame:
-    """Entries of an events table: labels event_type and user_id, line props, value value."""
+def _events_entries(events: DataFrame) -> DataFrame:
     return events.select(
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"),
         F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string")).alias("labels"),
@@ -66,6 +74,11 @@ def events_entries(events: DataFrame) -> DataFrame:
     )
 
 
+def events_entries(events: DataFrame) -> Timed:
+    """Entries of an events table: labels event_type and user_id, line props, value value."""
+    return Timed(events, "ts", _events_entries)
+
+
 def events_counters(events: DataFrame, name: str = "events_total") -> DataFrame:
     """Points of a counter per event type that grows by one with each event, and of a gauge with the event's value."""
     ordered = Window.partitionBy("event_type").orderBy("ts", "event_id")
@@ -76,12 +89,13 @@ def events_counters(events: DataFrame, name: str = "events_total") -> DataFrame:
     )
 
 
-def events_points(events: DataFrame, name: str = "event_value") -> DataFrame:
+def events_points(events: DataFrame, name: str = "event_value") -> Timed:
     """Points of a gauge per event type with each event's value."""
-    return events.select(
+    shape = lambda df: df.select(
         F.create_map(F.lit("__name__"), F.lit(name), F.lit("event_type"), F.col("event_type")).alias("labels"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("value").alias("val"),
     )
+    return Timed(events, "ts", shape)
 
 
 def order_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

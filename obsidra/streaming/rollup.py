@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsidra.operators import logs
 from obsidra.operators.logs import Options
 from obsidra.plans import logql as Q
-from obsidra.plans.model import canonical
+from obsidra.plans.model import canonical, frame_of
 
 STEP_NS = 15 * 10**9
 
@@ -18,11 +18,16 @@ STEP_NS = 15 * 10**9
 def rollup(entries: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
     """Mergeable aggregates per label set and step. On a stream, give it a watermark on ``event_time`` first."""
     keys = ["labels", "timestamp_ns"]
+    entries = frame_of(entries)
     stepped = entries.withColumns({"raw_ns": F.col("timestamp_ns"), "timestamp_ns": F.expr(f"timestamp_ns div {step_ns} * {step_ns}")})
-    return stepped.groupBy(*keys).agg(
-        F.max_by("value", F.struct("raw_ns", "string")).alias("last"), F.max("raw_ns").alias("last_ts"), F.max("value").alias("max"), F.min("value").alias("min"),
+    return stepped.groupBy(*keys).agg(*_parts("raw_ns"))
+
+
+def _parts(time: str) -> list[Column]:
+    return [
+        F.max_by("value", F.struct(time, "string")).alias("last"), F.max(time).alias("last_ts"), F.max("value").alias("max"), F.min("value").alias("min"),
         F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.sum(F.octet_length("string")).cast("double").alias("bytes"),
-    )
+    ]
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -59,10 +64,13 @@ def tail(stream: DataFrame, text: str, deliver: Callable[[DataFrame, int], None]
 
 
 def stream_rollup(stream: DataFrame, lateness: str = "1 minute") -> DataFrame:
-    """A streaming rollup that closes a step once the watermark has passed it."""
+    """rollup() of a stream: a step is given out once the watermark has passed it. Entries later than ``lateness`` are
+    left to a batch over what is stored, whose rows ``merged`` puts together with these."""
     timed = stream.withColumn("event_time", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("event_time", lateness)
     keyed = timed.groupBy(F.window("event_time", "15 seconds").alias("step"), canonical(F.col("labels")).alias("series"))
-    return keyed.agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.max("value").alias("max"), F.min("value").alias("min"), F.sum(F.octet_length("string")).alias("bytes"))
+    made = keyed.agg(*_parts("timestamp_ns"))
+    labels = F.map_from_entries(F.from_json("series", "array<struct<key:string,value:string>>"))
+    return made.select(labels.alias("labels"), (F.unix_micros("step.start") * 1000).alias("timestamp_ns"), "last", "last_ts", "max", "min", "count", "sum", "bytes")
 
 
 def record(entries: DataFrame, name: str, text: str, labels: dict[str, str] | None = None, options: Options | None = None) -> DataFrame:
