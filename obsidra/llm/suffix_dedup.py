@@ -43,7 +43,7 @@ from obsidra.llm.common import checked_columns, sliced, stored
 ANCHOR = 32
 BLOCK_BYTES = 2 << 20
 COLLECTION = 20_000
-PART = 4096  # runs of one anchor that are compared at once before all that are left
+PART = 1 << 16  # runs of one anchor that are compared at once before all that are left
 FIRST = -(1 << 63)  # stands for a null doc_id
 _RNG = np.random.default_rng(20240229)
 _SYMBOL = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +131,7 @@ def _map_runs(length: int):  # noqa: ANN202
     """Texts to their runs that don't wholly stand earlier in the slice at hand, and to the repeats that the slice shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 2 << 20):
+        for b in sliced(batches, 4 << 20):
             held: list[tuple] = []
             raws: list[np.ndarray] = []
             base = 0
@@ -181,38 +181,42 @@ def _spread(start: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (_mixed(start.astype(np.uint64) + doc.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by anchor, doc, tag, start: those whose anchor has several, numbered into parts; repeats pass. The
-    last row at hand is held back until it is known whether its anchor goes on."""
-    last: tuple | None = None  # the row held back, and how many of its anchor came before
-    for b in batches:
-        kind = b.column(0).to_numpy()
-        yield _parted(b.filter(pa.array(kind == 0)), np.zeros(int((kind == 0).sum()), int))
-        b = b.filter(pa.array(kind == 1))
-        before = 0
-        if last is not None:
-            b = pa.Table.from_batches([last[0], b]).combine_chunks().to_batches()[0]
-            before = last[1]
-        if not b.num_rows:
-            continue
-        anchor, doc, tag, start = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
-        same = anchor[1:] == anchor[:-1]
-        twice = np.concatenate(([False], same & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])))
-        if twice.any():
-            b = b.filter(pa.array(~twice))
-            anchor = anchor[~twice]
+def _settle(size: int):  # noqa: ANN202
+    """Of runs sorted by anchor, doc, tag, start: those whose anchor has several, numbered into parts of ``size``; repeats
+    pass. The last row at hand is held back until it is known whether its anchor goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # the row held back, and how many of its anchor came before
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            yield _parted(b.filter(pa.array(kind == 0)), np.zeros(int((kind == 0).sum()), int))
+            b = b.filter(pa.array(kind == 1))
+            before = 0
+            if last is not None:
+                b = pa.Table.from_batches([last[0], b]).combine_chunks().to_batches()[0]
+                before = last[1]
+            if not b.num_rows:
+                continue
+            anchor, doc, tag, start = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
             same = anchor[1:] == anchor[:-1]
-        heads = np.flatnonzero(np.concatenate(([True], ~same)))
-        sizes = np.diff(np.append(heads, len(anchor)))
-        place = np.arange(len(anchor)) - np.repeat(heads, sizes)
-        place[: sizes[0]] += before
-        several = np.repeat(sizes, sizes) > 1
-        several[: sizes[0]] |= before > 0
-        several[-1] = False
-        yield _parted(b.filter(pa.array(several)), place[several] // PART)
-        last = (b.slice(b.num_rows - 1), int(place[-1]))
-    if last is not None and last[1]:
-        yield _parted(last[0], np.array([last[1] // PART]))
+            twice = np.concatenate(([False], same & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])))
+            if twice.any():
+                b = b.filter(pa.array(~twice))
+                anchor = anchor[~twice]
+                same = anchor[1:] == anchor[:-1]
+            heads = np.flatnonzero(np.concatenate(([True], ~same)))
+            sizes = np.diff(np.append(heads, len(anchor)))
+            place = np.arange(len(anchor)) - np.repeat(heads, sizes)
+            place[: sizes[0]] += before
+            several = np.repeat(sizes, sizes) > 1
+            several[: sizes[0]] |= before > 0
+            several[-1] = False
+            yield _parted(b.filter(pa.array(several)), place[several] // size)
+            last = (b.slice(b.num_rows - 1), int(place[-1]))
+        if last is not None and last[1]:
+            yield _parted(last[0], np.array([last[1] // size]))
+
+    return run
 
 
 def _parted(rows: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
@@ -280,9 +284,9 @@ def repeats_of(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, ahead: np.
     return owner[heads], start[heads], np.diff(np.append(heads, len(owner))), whole
 
 
-def _compare(length: int):  # noqa: ANN202
-    """Runs sorted by anchor, part, doc, tag, start, with bytes; out come their repeats, and the runs that aren't wholly
-    repeats of others at hand."""
+def _compare(length: int, rest: bool):  # noqa: ANN202
+    """Runs sorted by anchor, part, doc, tag, start, with bytes; out come their repeats and, if the ``rest`` is wanted, the
+    runs that aren't wholly repeats of others at hand."""
 
     def judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -296,7 +300,8 @@ def _compare(length: int):  # noqa: ANN202
         who, offset, n, whole = repeats_of(flat, offsets[own], offsets[own + 1] - offsets[own], ahead[own].astype(np.int64), length)
         hit, left = own[who], own[~whole]
         yield _rows(0, anchor[hit], doc[hit], tag[hit], start[hit] + offset, np.zeros(len(hit), int), n)
-        yield _rows(1, anchor[left], doc[left], tag[left], start[left], ahead[left], windows[left])
+        if rest:
+            yield _rows(1, anchor[left], doc[left], tag[left], start[left], ahead[left], windows[left])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,31 +323,32 @@ def _compare(length: int):  # noqa: ANN202
     return run
 
 
-def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, part: int = PART) -> DataFrame:
     """(doc, tag, spans) with each document's repeated windows as (start, windows) pairs."""
     if not ANCHOR < length <= 180:
         raise ValueError(f"length must be from {ANCHOR + 1} to 180")
     texts = _documents(docs)
     runs = texts.mapInArrow(_map_runs(length), RUNS)
-    found = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start").mapInArrow(_settle, FOUND)
+    found = runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "start").mapInArrow(_settle(part), FOUND)
     found = stored(found, "suffix-found")
     whole = found.where("kind = 0").select("doc", "tag", "start", "windows")
 
-    def compared(open_: DataFrame, keys: list[str]) -> DataFrame:
+    def compared(open_: DataFrame, keys: list[str], rest: bool) -> DataFrame:
         # First the texts that have open runs at all: their ids are few, and Spark broadcasts them if they are small.
         holders = stored(open_.select("doc", "tag").distinct(), "suffix-holders")
         cut = texts.join(holders, ["doc", "tag"], "left_semi").join(open_, ["doc", "tag"])
         piece = F.substring("raw", (F.col("start") + 1).cast("int"), (F.col("windows") + length - 1).cast("int"))
         cut = cut.select("anchor", "doc", "tag", "start", "ahead", "windows", piece.alias("raw"), *[k for k in keys if k != "anchor"])
         dealt = cut.repartition(*keys).sortWithinPartitions(*keys, "doc", "tag", "start")
-        return stored(dealt.mapInArrow(_compare(length), RUNS), "suffix-compared")
+        return stored(dealt.mapInArrow(_compare(length, rest), RUNS), "suffix-compared")
 
-    first = compared(found.where("kind = 1").drop("kind"), ["anchor", "part"])
-    whole = whole.union(first.where("kind = 0").select(*whole.columns))
     hot = found.where("part > 0").select("anchor").distinct()
-    if not hot.isEmpty():  # anchors with several parts: what is left of those, together
+    several = not hot.isEmpty()
+    first = compared(found.where("kind = 1").drop("kind"), ["anchor", "part"], several)
+    whole = whole.union(first.where("kind = 0").select(*whole.columns))
+    if several:  # anchors with several parts: what is left of those, together
         left = first.where("kind = 1").drop("kind").join(hot, "anchor", "left_semi")
-        whole = whole.union(compared(left, ["anchor"]).where("kind = 0").select(*whole.columns))
+        whole = whole.union(compared(left, ["anchor"], False).where("kind = 0").select(*whole.columns))
     return whole.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
@@ -356,7 +362,7 @@ def covered(spans: list, n: int, length: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def repeated(docs: DataFrame, *, length: int = 100) -> DataFrame:
+def repeated(docs: DataFrame, *, length: int = 100, part: int = PART) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; ``kept`` has the remaining bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +379,7 @@ def repeated(docs: DataFrame, *, length: int = 100) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    joined = _documents(docs).join(repeats(docs, length), ["doc", "tag"], "left")
+    joined = _documents(docs).join(repeats(docs, length, part), ["doc", "tag"], "left")
     named = joined.select(F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "raw", "spans")
     return named.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -87,7 +87,7 @@ def test_repeats_of_one_anchor_in_many_runs(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
     try:
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-        got = suffix_dedup.repeated(docs).orderBy("doc_id").collect()
+        got = suffix_dedup.repeated(docs, part=1000).orderBy("doc_id").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got] == _repeats(texts, 100)
