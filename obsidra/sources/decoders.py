@@ -93,8 +93,9 @@ def influx_lines(raw: DataFrame, precision_ns: int = 1) -> DataFrame:
     value = r'"(?:[^"\\]|\\.)*"|[^\s,"]+'
     shape = rf"^({_ESCAPED.replace('=', '')})((?:,{_ESCAPED}={_ESCAPED})*) +({_ESCAPED}=(?:{value})(?:,{_ESCAPED}=(?:{value}))*)(?: +(-?\d+))?$"
     part = lambda k: F.regexp_extract("value", shape, k)
-    bad = F.raise_error(F.concat(F.lit("can't read the line "), F.col("value")))
-    measurement = F.when(part(1) != "", _unescaped(part(1))).otherwise(bad)
+    bad = F.raise_error(F.concat(F.lit("can't read the line "), F.col("value"))).cast("boolean")
+    raw = raw.where(F.when(part(1) != "", F.lit(True)).otherwise(bad))
+    measurement = _unescaped(part(1))
     pairs = lambda k, one: map_of(F.transform(F.regexp_extract_all(part(k), F.lit(one), F.lit(1)), _unescaped), F.regexp_extract_all(part(k), F.lit(one), F.lit(2)))
     tags = F.transform_values(pairs(2, rf"({_ESCAPED})=({_ESCAPED})"), lambda _, v: _unescaped(v))
     stamp = F.coalesce(part(4).try_cast("long") * precision_ns, F.col("received_ns"))
