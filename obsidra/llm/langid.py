@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from obsidra.llm.common import bucket_of, checked_columns, sliced
 
-SEGMENT = 256
+SEGMENT = 384
 WARM = 24
 BLANK = 32
 
@@ -134,7 +134,7 @@ def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, np.minimum(SEGMENT, sizes[of] - place), of
 
 
-def text_scores(net: Network, raw: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
+def text_scores(net: Network, raw: np.ndarray, starts: np.ndarray, block: int = 1024) -> np.ndarray:
     """Per text the sums over its positions of the log-probabilities of each language; last column: positions."""
     rows, held, of = segments(raw, starts)
     out = np.zeros((len(starts) - 1, len(net.langs) + 1))
@@ -143,24 +143,64 @@ def text_scores(net: Network, raw: np.ndarray, starts: np.ndarray, block: int =
         used = int(n.max())
         some = some[:, : used + 2 * WARM]
         logp = _segment_log_probs(net, some, used)
-        counts = np.arange(used)[:, None] < n[None, :]
-        np.add.at(out[:, :-1], of[at : at + block], np.einsum("tnl,tn->nl", logp, counts))
+        counts = (np.arange(used)[:, None] < n[None, :]).astype(np.float32)
+        logp *= counts[:, None, :]
+        np.add.at(out[:, :-1], of[at : at + block], logp.sum(axis=0, dtype=np.float64).T)
     np.add.at(out[:, -1], of, held)
     return out
 
 
+def _swift(words: np.ndarray, inputs: np.ndarray, recur: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """_direction() for reading only: states (position, hidden, row). Gates lie row by row, so that every step works on
+    whole stretches of memory, in place; the arguments' factors are in the weights already, as exp() is the fast one here."""
+    steps, n = words.shape
+    size = recur.shape[0]
+    factor = np.repeat(np.array([-1, -1, -2], np.float32), size)
+    table, weights = np.ascontiguousarray(((inputs + bias) * factor).T), np.ascontiguousarray((recur * factor).T)
+    x, u = np.empty((3 * size, n), np.float32), np.empty((3 * size, n), np.float32)
+    states = np.empty((steps, size, n), np.float32)
+    state = np.zeros((size, n), np.float32)
+    gates, fresh, z, r = x[: 2 * size], u[2 * size :], x[:size], x[size : 2 * size]
+    for t in range(steps):
+        np.take(table, words[t], axis=1, out=x, mode="clip")
+        np.matmul(weights, state, out=u)
+        gates += u[: 2 * size]
+        _sigmoid_of_minus(gates)
+        fresh *= r
+        fresh += x[2 * size :]
+        _sigmoid_of_minus(fresh)
+        fresh *= np.float32(2)
+        fresh -= np.float32(1)
+        state -= fresh
+        state *= z
+        state += fresh
+        states[t] = state
+    return states
+
+
+def _sigmoid_of_minus(x: np.ndarray) -> None:
+    np.minimum(x, np.float32(80), out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    np.reciprocal(x, out=x)
+
+
 def _segment_log_probs(net: Network, rows: np.ndarray, used: int) -> np.ndarray:
-    """Log-probabilities (position, segment, language) of the ``used`` positions between the warming bytes; each direction
+    """Log-probabilities (position, language, segment) of the ``used`` positions between the warming bytes; each direction
     stops where they end."""
-    ahead = _direction(rows[:, : WARM + used], net.inputs[0], net.recur[0], net.bias[0], None)[WARM:]
-    behind = _direction(rows[:, : WARM - 1 : -1], net.inputs[1], net.recur[1], net.bias[1], None)[WARM:][::-1]
+    columns = np.ascontiguousarray(rows.T)
+    ahead = _swift(columns[: WARM + used], net.inputs[0], net.recur[0], net.bias[0])[WARM:]
+    behind = _swift(columns[: WARM - 1 : -1], net.inputs[1], net.recur[1], net.bias[1])[WARM:][::-1]
     size = net.recur[0].shape[0]
-    logits = ahead @ net.out[:size] + behind @ net.out[size:] + net.out_bias
-    logits -= logits.max(axis=2, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    logits = np.matmul(net.out[:size].T, ahead)
+    logits += np.matmul(net.out[size:].T, behind)
+    logits += net.out_bias[:, None]
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
-def train(samples: list[tuple[str, bytes]], *, hidden: int = 10, steps: int = 400, batch: int = 160, window: int = 32, rate: float = 0.03, seed: int = 7) -> Network:
+def train(samples: list[tuple[str, bytes]], *, hidden: int = 8, steps: int = 400, batch: int = 160, window: int = 32, rate: float = 0.03, seed: int = 7) -> Network:
     """Network fitted to (language, bytes) samples by Adam, on windows drawn from them; languages are drawn alike
     whatever their shares."""
     langs = sorted({lang for lang, _ in samples})
