@@ -6,6 +6,9 @@ there. Spansets join at trace level, or at span level with ``same_span``; struct
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,24 +168,30 @@ def _reached(spans: DataFrame, left: DataFrame, right: DataFrame, op: str) -> Da
     if op == ">>":  # hit: one of the ancestors looked at so far is of the left side
         now = now.join(above, ["trace_id", "up"], "left").select(*KEY, "up", F.coalesce("up_hit", F.lit(False)).alias("hit"))
         ends = now.select(*KEY, "up", "hit")
-        while not ends.where("up IS NOT NULL AND NOT hit").limit(1).isEmpty():
+        for _ in _rounds(start, lambda: ends.where("up IS NOT NULL AND NOT hit")):
             far = ends.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("far_hit"))
             grown = ends.join(far, ["trace_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("hit") | F.coalesce("far_hit", F.lit(False))).alias("hit"))
-            ends = stored(_acyclic(grown), "lineage")
+            ends = stored(grown, "lineage")
         return ends.where("hit").select(*KEY)
     # hit: of the left side itself, or with such a span below among those looked at so far.
-    while not now.where("up IS NOT NULL AND hit").limit(1).isEmpty():
+    for _ in _rounds(start, lambda: now.where("up IS NOT NULL AND hit")):
         raised = now.where("hit AND up IS NOT NULL").select("trace_id", F.col("up").alias("span_id"), F.lit(True).alias("more")).distinct()
         far = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"))
         grown = now.join(raised, KEY, "left").join(far, ["trace_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit"))
-        now = stored(_acyclic(grown), "lineage")
+        now = stored(grown, "lineage")
     hits = now.where("hit").select(*KEY).join(start.select(*KEY, F.col("up").alias("parent")), KEY)
     return hits.where("parent IS NOT NULL").select("trace_id", F.col("parent").alias("span_id")).distinct()
 
 
-def _acyclic(ends: DataFrame) -> DataFrame:
-    """A span that has come back to itself is on a cycle of parents, all of which it has seen."""
-    return ends.withColumn("up", F.when(F.col("up") != F.col("span_id"), F.col("up")))
+def _rounds(start: DataFrame, left_over: Callable[[], DataFrame]) -> Iterator[int]:
+    """Rounds until nothing is left over or, where parents make a cycle, until the reach is beyond the longest trace."""
+    longest = 1 << 62
+    for k in count():
+        if k == 6:
+            longest = start.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+        if 1 << k > longest or left_over().limit(1).isEmpty():
+            return
+        yield k
 
 
 def _filtered(found: DataFrame, stages: tuple, strict: bool = False) -> DataFrame:
