@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of its own only where the session has none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark, "_obsidra_rounds", None) or tempfile.mkdtemp(prefix="obsidra-rounds-")
         spark._obsidra_rounds = found
