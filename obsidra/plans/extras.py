@@ -288,7 +288,10 @@ def _more_metrics() -> None:
         prom(f"prom_fn_{fn}", f'{fn}({mean}, "event_type")', over("avg(val)"))
     pairs = f"SELECT event_type, t, arg_max(val, ts_ms) AS last, arg_max(coalesce(prev, 0), ts_ms) AS prev, max(ts_ms) AS seen, arg_max(coalesce(prev_ts, 0), ts_ms) AS before FROM p, {GRID} WHERE ts_ms > t - {12 * HOUR} AND ts_ms <= t GROUP BY event_type, t HAVING count(*) >= 2"
     prom("prom_idelta", "idelta(event_value[12h])", f"SELECT event_type, t AS ts_ms, round(last - prev, 6) AS val FROM ({pairs})")
-    prom("prom_irate", "irate(event_value[12h]) * 1000", f"SELECT event_type, t AS ts_ms, round((CASE WHEN last < prev THEN last ELSE last - prev END) / ((seen - before) / 1000.0) * 1000, 6) AS val FROM ({pairs})")
+    # epoch_ms() rounds to milliseconds; points' times are cut off, which a rate over two of them shows.
+    cut = "(SELECT event_type, epoch_us(ts) // 1000 AS ts_ms, value AS val, lag(value) OVER w AS prev, lag(epoch_us(ts) // 1000) OVER w AS prev_ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)) p"
+    value = "round((CASE WHEN last < prev THEN last ELSE last - prev END) / ((seen - before) / 1000.0) * 1000, 6)"
+    prom("prom_irate", "irate(event_value[12h]) * 1000", f"SELECT event_type, t AS ts_ms, {value} AS val FROM ({pairs.replace('FROM p,', f'FROM {cut},')})")
     prom("prom_predict_linear", "predict_linear(event_value[1d], 3600)", over("regr_intercept(val, (ts_ms - t) / 1000.0) + 3600 * regr_slope(val, (ts_ms - t) / 1000.0)", 24 * HOUR) + " HAVING count(*) >= 2")
     prom("prom_atan2", f"{mean} atan2 count_over_time(event_value[12h])", over("atan2(avg(val), count(val))"))
     prom("prom_pow", "count_over_time(event_value[12h]) ^ 2", over("count(val) ^ 2"))
