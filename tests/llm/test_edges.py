@@ -318,3 +318,26 @@ def test_pipeline_by_brute_force(spark, corpus):
     assert counts == want
     assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, corpus).collect()) == sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in packed)
     assert os.path.isdir(corpus)
+
+
+def test_exact_search_takes_many_pairs_as_one_product(monkeypatch):
+    r = np.random.default_rng(8)
+    single, plain = [], np.einsum
+    monkeypatch.setattr(exact_search.np, "einsum", lambda how, *x: single.append(len(x[0])) or plain(how, *x))
+    near = np.repeat(r.integers(-9, 9, (40, 64)), 50, axis=0)
+    x = {
+        "random": r.integers(-30, 30, (2000, 64)), "equal": np.ones((2000, 64)), "growing": np.arange(2000)[:, None] * np.ones(64),
+        "large": r.integers(-(10**6), 10**6, (2000, 64)), "near": near + r.integers(0, 2, (2000, 64)),
+    }
+    for name, rows in x.items():
+        rows, ids = rows.astype(float), np.arange(2000)
+        queries = exact_search.Queries(ids[::20], rows[::20], 7)
+        for at in range(0, 2000, 256):
+            block = exact_search.unpacked(exact_search.packed(rows[at : at + 256]), 64)
+            queries.look(exact_search.Vectors(ids[at : at + 256], block))
+        got = queries.answers().to_pydict()
+        for q in range(0, 2000, 20):
+            scores = [(-int(v), int(n)) for n, v in enumerate(rows @ rows[q]) if n != q]
+            mine = [(-s, v) for a, v, s in zip(got["query_id"], got["vec_id"], got["score"], strict=True) if a == q]
+            assert mine == sorted(scores)[:7], name
+        assert name != "random" or sum(single) < 2000 * 100 / 8
