@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,22 +59,24 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_positions(ids: np.ndarray, mean: int, most: int) -> np.ndarray:
-    """Ends of the chunks: behind ids where the rolling hash's low bits are zero, and at most ``most`` ids apart."""
-    if len(ids) == 0:
-        return np.zeros(0, dtype=np.int64)
+def cut_positions(ids: np.ndarray, at: np.ndarray, mean: int, most: int) -> np.ndarray:
+    """Ends of the chunks of documents that stand on end in ``ids``, at ``at``: behind ids where the rolling hash of their
+    document's low bits are zero, at most ``most`` ids apart, and behind each document."""
     factor = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * factor
         mixed ^= mixed >> np.uint64(29)
-        rolled = np.zeros(len(ids), dtype=np.uint64)
+        rolled = mixed.copy()
         weight = np.uint64(1)
-        for k in range(min(WINDOW, len(ids))):
-            rolled[k:] += mixed[: len(ids) - k] * weight
+        for k in range(1, min(WINDOW, len(ids))):
             weight *= np.uint64(0xD6E8FEB86659FD93)
+            rolled[k:] += mixed[:-k] * weight
+            for j in range(k):  # what the last k ids of the document before have added
+                own = at[:-1][(at[:-1] + j < at[1:]) & (at[:-1] + j >= k)] + j
+                rolled[own] -= mixed[own - k] * weight
         rolled *= factor
         hits = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(mean - 1) == 0) + 1
-    ends = np.union1d(hits, [len(ids)])
+    ends = np.union1d(hits, at[1:][at[1:] > at[:-1]])
     gaps = np.diff(ends, prepend=0)
     if (wide := np.flatnonzero(gaps > most)).size:
         ends = np.union1d(ends, np.concatenate([np.arange(ends[k] - gaps[k] + most, ends[k], most) for k in wide]))
@@ -93,14 +96,16 @@ def write(
         pressed = zstandard.ZstdCompressor(level=1)
         for batch in sliced(batches):
             found, at = coder.encode_documents(batch.column(1), end_id)
+            raws, width = found.astype(narrow).tobytes(), np.dtype(narrow).itemsize
+            cuts = cut_positions(found, at, mean, most)
+            of, cuts, bounds = np.searchsorted(cuts, at, side="right").tolist(), cuts.tolist(), at.tolist()
             seen: set[bytes] = set()
             rows: dict[str, list] = {f.name: [] for f in OBJECTS}
             held = 0
             for k, doc in enumerate(batch.column(0).to_pylist()):
-                ids = found[at[k] : at[k + 1]]
-                keys, start = [], 0
-                for end in cut_positions(ids, mean, most).tolist():
-                    raw = ids[start:end].astype(narrow).tobytes()
+                keys, start = [], bounds[k]
+                for end in cuts[of[k] : of[k + 1]]:
+                    raw = raws[start * width : end * width]
                     keys.append(key := digest(raw))
                     if key not in seen:
                         seen.add(key)
@@ -108,7 +113,7 @@ def write(
                         held += len(rows["payload"][-1])
                     start = end
                 root = merkle_root(keys)
-                _add(rows, root, "recipe", len(ids), b"".join(keys), doc)
+                _add(rows, root, "recipe", bounds[k + 1] - bounds[k], b"".join(keys), doc)
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pydict(rows, schema=OBJECTS)
                     rows, held = {f.name: [] for f in OBJECTS}, 0
@@ -117,13 +122,13 @@ def write(
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:  # sorted by kind and key: recipes pass, of equal chunks the first
-            keep, keys, kinds = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, (key, kind) in enumerate(zip(keys, kinds, strict=True)):
-                if kind == "recipe" or key != last:
-                    keep.append(k)
-                if kind == "chunk":
-                    last = key
-            yield batch.take(pa.array(keep, type=pa.int64()))
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            before = pa.concat_arrays([pa.array([last], keys.type), keys.slice(0, len(keys) - 1)])
+            again = pc.and_(pc.equal(batch.column(1), "chunk"), pc.fill_null(pc.equal(keys, before), False))
+            last = keys[len(keys) - 1].as_py()
+            yield batch.filter(pc.invert(again))
 
     # A chunk goes to the place its digest names; a recipe is small and goes anywhere, spread by document.
     place = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("key", "doc_id"))

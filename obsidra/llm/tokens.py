@@ -38,11 +38,12 @@ class Cache:
     def find(self, words: list[str]) -> list[bytes | None]:
         found = list(map(self.young.get, words))
         if self.old:
-            old = self.old
-            again = {w: x for w, y in zip(words, found, strict=True) if y is None and (x := old.get(w)) is not None}
+            again = {}
+            for k in [k for k, x in enumerate(found) if x is None]:
+                if (x := self.old.get(words[k])) is not None:
+                    found[k] = again[words[k]] = x
             if again:  # what is still in use moves to the young
                 self.add(again)
-                found = [again.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
         return found
 
     def add(self, fresh: dict[str, bytes]) -> None:
@@ -68,6 +69,12 @@ class Encoder:
         self.byte_level = bool((spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel")
         self.chunks, self.pieces = Cache(chunks), Cache(pieces)
         self.vocab_size = self.tokenizer.get_vocab_size()
+        #: Which ids end a word, in a vocabulary that marks them.
+        self.last, mark = None, spec["model"].get("end_of_word_suffix")
+        if mark and not self.byte_level:
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(mark)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's ids of whole texts, without a cache."""
@@ -77,6 +84,13 @@ class Encoder:
     def of_words(self, words: list[str]) -> list[bytes]:
         """As whole(), of words of letters that split on their own when they stand together (with their spaces in front
         of them in a byte vocabulary): the library's work a text is done once for many."""
+        if self.last is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+                return self.whole(words)
+            raw = ids.tobytes()
+            return [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
         found = self.tokenizer.encode_batch([("" if self.byte_level else " ").join(words)], add_special_tokens=False)[0]
         which = found.word_ids
         if None in which or not which or which[-1] + 1 != len(words):
@@ -183,7 +197,7 @@ class Encoder:
         found = self.pieces.find(keys)
         missing = [p for p, x in zip(keys, found, strict=True) if x is None]
         new = {"": b""} if "" in missing else {}
-        size, encode = (2000, self.of_words) if words else (20_000, self.whole)
+        size, encode = (500 if self.last is not None else 2000, self.of_words) if words else (20_000, self.whole)
         for at in range(0, len(missing), size):
             some = [p for p in missing[at : at + size] if p]
             new.update(zip(some, encode(some), strict=True))

@@ -341,3 +341,24 @@ def test_exact_search_takes_many_pairs_as_one_product(monkeypatch):
             mine = [(-s, v) for a, v, s in zip(got["query_id"], got["vec_id"], got["score"], strict=True) if a == q]
             assert mine == sorted(scores)[:7], name
         assert name != "random" or sum(single) < 2000 * 100 / 8
+
+
+def test_chunks_of_documents_on_end_are_those_of_each_alone():
+    r = np.random.default_rng(6)
+    sizes = [1, 1, 3, 0, 7, 8, 9, 400, 2, 5000, 1]
+    at = np.cumsum([0, *sizes])
+    ids = r.integers(0, 50, at[-1]).astype("<u4")
+    ids[at[9] : at[10]] = 7  # no hit in a long stretch
+    got = token_store.cut_positions(ids, at, 16, 64).tolist()
+    want = []
+    for a, b in zip(at, at[1:]):  # noqa: B905
+        want += [a + e for e in token_store.cut_positions(ids[a:b], np.array([0, b - a]), 16, 64).tolist()]
+    assert got == want and set(at[1:].tolist()) - {0} <= set(got) and max(np.diff([0, *got])) <= 64
+
+
+def test_words_are_told_apart_by_the_ids_that_end_them():
+    coder = encoder(WORD)
+    words = ["stone", "zzyxwq", "éreétion", "a", "undeinzuausch", "the"]
+    assert coder.of_words(words) == coder.whole(words) == [coder.whole([w])[0] for w in words]
+    assert coder.of_words(["two words", "one"]) == coder.whole(["two words", "one"])
+    assert sum(coder.last) > 0 and encoder(BYTE).last is None
