@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsidra.llm.common import sliced
-from obsidra.llm.vectors import asked, matrix, ranked, usable
+from obsidra.llm.vectors import asked, matrix, ranked, stretches, usable
 
 RESOLUTIONS = (1, 4, 16)
 PAIRS = 1 << 15  # pairs that are worked out one by one at once
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64,
         tile, ids, asks = None, [], []
         current: list[Queries] = []
         for part in sliced(batches, rows=row_block):
-            for at, to in _stretches(part):
+            for at, to in stretches(part):
                 own = part.slice(at, to - at)
                 name, kind = own.column(0)[0].as_py(), own.column(1)[0].as_py()
                 if name != tile:
@@ -211,13 +211,3 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64,
             yield some.answers()
 
     return ranked(dealt.mapInArrow(run, "query_id long, vec_id long, score long"), k)
-
-
-def _stretches(part: pa.RecordBatch) -> list[tuple[int, int]]:
-    """Where rows of one tile and kind begin and end."""
-    if not part.num_rows:
-        return []
-    tile, kind = (part.column(c).to_numpy() for c in (0, 1))
-    cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1])) + 1
-    bounds = [0, *cuts.tolist(), len(tile)]
-    return list(zip(bounds, bounds[1:]))  # noqa: B905

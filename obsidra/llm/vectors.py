@@ -57,3 +57,13 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def asked(every: int) -> Column:
     return F.col("vec_id") % every == 0
+
+
+def stretches(part: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Where rows of one tile and kind (the first two columns) begin and end."""
+    if not part.num_rows:
+        return []
+    tile, kind = (part.column(c).to_numpy() for c in (0, 1))
+    cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1])) + 1
+    bounds = [0, *cuts.tolist(), len(tile)]
+    return list(zip(bounds, bounds[1:]))  # noqa: B905

@@ -362,3 +362,32 @@ def test_words_are_told_apart_by_the_ids_that_end_them():
     assert coder.of_words(words) == coder.whole(words) == [coder.whole([w])[0] for w in words]
     assert coder.of_words(["two words", "one"]) == coder.whole(["two words", "one"])
     assert sum(coder.last) > 0 and encoder(BYTE).last is None
+
+
+def test_cross_polytope_meets_the_probed_pairs_at_any_size_and_share(spark):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((400, 16)).astype(np.float32)
+    x[300:] = x[7]  # a crowded bucket
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = cross_polytope.unit(x.astype(float))
+    met = np.zeros((400, 400), dtype=bool)
+    for t in range(3):
+        code = cross_polytope.nearest_pairs(y, t, 16, 3, 1)[:, 0]
+        for q in range(0, 400, 20):
+            met[q] |= np.isin(code, cross_polytope.nearest_pairs(y[q : q + 1], t, 16, 3, 40)[0])
+    want = {}
+    for q in range(0, 400, 20):
+        scores = x.astype(float) @ x[q].astype(float)
+        able = [n for n in range(400) if n != q and (met[q, n] or met[q].sum() - met[q, q] < 5)]
+        want[q] = sorted(able, key=lambda n: (-round(scores[n], 9), n))[:5]
+    for more in ({}, {"tile_bytes": 5000, "least_tiles": 1}):
+        found = cross_polytope.search(df, k=5, tables=3, pair_probes=40, **more).orderBy("query_id", "rank").collect()
+        assert {q: [r.vec_id for r in found if r.query_id == q] for q in want} == want
+
+
+def test_buckets_beyond_a_list_are_found_alike():
+    r = np.random.default_rng(1)
+    ids, x = np.arange(50), r.standard_normal((50, 4))
+    codes, probes = r.integers(0, 64, (50, 2)), [r.integers(0, 64, (6, 9)) for _ in range(2)]
+    got = [[rows.tolist() for rows in cross_polytope.Index(ids, x, codes, n).met(probes)] for n in (64, 1 << 40)]
+    assert got[0] == got[1] == [[n for n in range(50) if codes[n, 0] in a or codes[n, 1] in b] for a, b in zip(*probes, strict=True)]
